@@ -1,0 +1,302 @@
+"""Small cases of the corpus operators: nulls, empty tables, ties, repeated rows, clashing columns, brute force."""
+
+import gzip
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from codestrata.llm import ann, bpe, langid, mixing, quality, secrets, simhash, token_counts, toxicity, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = {"step": "x", "sig": 1, "id": 2, "n": 3, "copies": 4, "_source": "s", "label": 5, "block": 6}
+
+
+def docs(spark, rows, extra=False):
+    df = spark.createDataFrame([(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows], DOCS)
+    return df.withColumns({k: F.lit(v) for k, v in CLASH.items()}) if extra else df
+
+
+RNG = np.random.default_rng(5)
+WORDS = ["".join(RNG.choice(list("abcdefghijklmnop"), RNG.integers(2, 9))) for _ in range(800)]
+
+
+def prose(n, seed):
+    return " ".join(np.random.default_rng(seed).choice(WORDS, n)) + "."
+
+
+ODD = [(None, prose(60, 1), "en", "a"), (1, None, "en", "a"), (2, "", None, None), (3, "   \n", "en", None), (4, "One", "en", "a"), (5, prose(20000, 2), "en", "a"), (6, prose(60, 3), None, "b"), (6, prose(60, 3), None, "b"), (7, "Ünï çödé\u0000 文字 🙂 " + prose(50, 4), "fr", "b")]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_empty_tables(spark, stage):
+    last = stage is corpus_pipeline.STAGES[-1][1]
+    for rows in (ODD, []):
+        got = stage(spark, docs(spark, rows, extra=True), "")
+        assert last or set(got.columns) == set(docs(spark, []).columns)
+        assert got.count() <= len(rows)
+
+
+# Quality
+
+def test_quality_rejects_junk_and_keeps_prose(spark):
+    rows = [(i, prose(80, i), "en", "a") for i in range(150)]
+    rows += [(900, "BUY NOW!! " * 30, "en", "a"), (901, " ".join(f"{w}***" for w in WORDS[:60]), "en", "a"), (902, "same same same " * 60, "en", "b"), (903, prose(80, 903), "en", "b")]
+    kept = {r.doc_id for r in quality.quality_filter(docs(spark, rows)).collect()}
+    assert kept == {*range(150), 903}
+
+
+# Near-duplicates
+
+def test_fingerprint_distance_follows_similarity():
+    a = prose(200, 1)
+    w = a.split()
+    w[50] = "changed"
+    sig, there = simhash.fingerprints([a, " ".join(w), prose(200, 2), "", a.upper() + "!"], simhash.WordHashes())
+    d = lambda i, j: np.unpackbits(sig[i] ^ sig[j]).sum()
+    assert d(0, 1) <= 40 < 90 < d(0, 2) and d(0, 4) == 0 and there.tolist() == [True, True, True, False, True]
+
+
+def test_buckets_split_without_losing_copies():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 256, 32, dtype=np.uint8)
+    sigs = np.stack([base] * 700 + [rng.integers(0, 256, 32, dtype=np.uint8) for _ in range(700)])
+    for i in range(1, 700):
+        for b in rng.choice(256, 5, replace=False):
+            sigs[i, b // 8] ^= 1 << (b % 8)
+    links = simhash.bucket_links(np.arange(1400), sigs.view(np.uint64).reshape(1400, 4), rng.permutation(256), 0, 64, 64)
+    joined = {0}
+    for a, b, _ in links:
+        joined |= {*b[a == 0].tolist()}
+    assert joined >= set(range(700))
+
+
+def test_dedup_keeps_one_of_each_group(spark):
+    rows = [(10 * i, prose(120, i), "en", "a") for i in range(40)]
+    for i in range(10):
+        w = prose(120, i).split()
+        w[7] = "other"
+        rows += [(10 * i + 1, prose(120, i), "en", "a"), (10 * i + 2, " ".join(w), "en", "b")]
+    rows += [(0, prose(120, 0), "en", "a"), (None, prose(120, 0), "en", "a"), (None, prose(120, 0), "en", "a"), (5001, None, "en", "a"), (5002, "", "en", "a"), (5003, "", "en", "a")]
+    got = sorted((r.doc_id is not None, r.doc_id) if r.doc_id is not None else (False, -1) for r in simhash.deduplicate(docs(spark, rows, extra=True)).collect())
+    assert got == [(False, -1)] * 2 + [(True, 10 * i) for i in range(40)] + [(True, i) for i in (5001, 5002, 5003)]
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (8, 9), (7, 7)], "a long, b long")
+    assert {r.id: r.root for r in simhash.components(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
+
+
+# Secrets
+
+KEY = "f3b1c9d27e6a4085bb12"
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        (f'password = "{KEY}"', ["password"]), (f"api_key: '{KEY}'", ["api_key"]), (f'{{"clientSecret": "{KEY}"}}', ["clientSecret"]), (f"'token' => '{KEY}',", ["token"]), (f'String dbPassword = "{KEY}";', ["dbPassword"]),
+        (f'const apiKey: string = "{KEY}"', ["apiKey"]), (f"export AUTH_TOKEN={KEY}", ["AUTH_TOKEN"]), (f'config["secret"] = "{KEY}"', ["config.secret"]), (f'x = "{KEY}"\nsecret = x', ["secret"]), (f'x = "{KEY}"\ny = x\nsecret = y', ["secret"]),
+        (f'x = "{KEY}"\nx = "plain words here"\nsecret = x', []), (f'secret = "{KEY[:10]}" +\n  "{KEY[10:]}"', ["secret"]), (f'prose with token = "{KEY}" inside', ["token"]),
+        ('password = "changeme"', []), ('token = "${TOKEN}"', []), ("token_count = 12345678", []), (f'colour = "{KEY}"', []), ("password = os.environ['X']", []), ("The password: you know it", []), ("", []), ("a == b", []), ("a" * 200_000 + "=", []),
+        ("password=" * 20_000, []), ('"' * 100_000, []),
+    ],
+)
+def test_secret_scan(text, names):
+    assert [f[0] for f in secrets.scan(text)] == names
+
+
+def test_redaction(spark):
+    rows = [(1, f'say token = "{KEY}" twice token = "{KEY}"', "en", "a"), (2, "no: thing", "en", "a"), (3, None, "en", "a"), (None, "", "en", "a")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact_documents(docs(spark, rows)).collect()}
+    text = 'say token = "[REDACTED]" twice token = "[REDACTED]"'
+    assert got == {1: (text, len(text)), 2: ("no: thing", 9), 3: (None, None), None: ("", 0)}
+    assert secrets.findings(docs(spark, rows)).count() == 2 and secrets.findings(docs(spark, [])).count() == 0
+
+
+# Mixing
+
+@pytest.mark.parametrize("block_rows", [4096, 16, 2])
+def test_mixing_against_a_loop(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
+    rows = [(i, f"t{i}", "en", "abc"[i % 3 if i % 5 else 0]) for i in range(200)] + [(7, "t7", "en", "b"), (None, "n", "en", None), (300, None, "en", None)]
+    got = sorted((r.source or "", -1 if r.doc_id is None else r.doc_id, r.copy) for r in mixing.mix_sources(docs(spark, rows, extra=True), copy_column="copy").collect())
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + 1
+    whole = sum(n**0.5 for n in sizes.values())
+    want = []
+    for s, n in sizes.items():
+        step, total = int(n**0.5 / whole * len(rows) / n * mixing.MILLION), mixing.OFFSET
+        for i, t, _, _ in sorted((r for r in rows if r[3] == s), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+            want += [(s or "", -1 if i is None else i, k + 1) for k in range((total + step) // mixing.MILLION - total // mixing.MILLION)]
+            total += step
+    assert got == sorted(want)
+
+
+def test_mixing_weights(spark):
+    rows = [(i, "t", "en", "a" if i < 80 else "b") for i in range(100)]
+    got = [r.source for r in mixing.mix_sources(docs(spark, rows), {"a": 1, "b": 1}).collect()]
+    assert abs(got.count("a") - 50) <= 1 and abs(got.count("b") - 50) <= 1
+    assert {r.source for r in mixing.mix_sources(docs(spark, rows), {"b": 2}).collect()} == {"b"}
+
+
+# BPE and token counts
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(bpe.load_ranks())
+
+
+def test_encoding_equals_the_library(codec):
+    import tiktoken
+
+    plain = tiktoken.Encoding("whole", pat_str=bpe.PATTERN, mergeable_ranks=bpe.load_ranks(), special_tokens={})
+    rng = np.random.default_rng(1)
+    letters = list("abcdelrstvqxz' .,!?0159\n\t\r \u0085 éßÀ中文🙂<|>")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)] + ["a" * 5000, "'ll've're" * 9, "x \n\n y  z   ", prose(300, 1)]
+    for t in texts:
+        ids = codec.encode(t)
+        assert ids.tolist() == plain.encode_ordinary(t) and codec.decode(ids.tolist()) == t
+
+
+def test_forced_pairs_stand_in_no_token(codec):
+    for token in codec.tokens.values():
+        assert not any(codec.cuts[a, b] for a, b in itertools.pairwise(token))
+
+
+def test_encode_and_decode_documents(spark):
+    encoded = bpe.encode_documents(docs(spark, ODD))
+    back = {(r.doc_id, r.text) for r in bpe.decode_documents(encoded).collect()}
+    assert back == {(i, t) for i, t, _, _ in ODD}
+
+
+@pytest.mark.parametrize("rule", ["most", "first"])
+def test_attribution_against_a_loop(rule):
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        lengths = rng.integers(1, 6, rng.integers(1, 20))
+        n = int(lengths.sum())
+        ends = np.unique(np.append(rng.integers(1, n + 1, 4), n))
+        want, at = np.zeros(len(ends), int), 0
+        for k in lengths:
+            place = np.searchsorted(ends, np.arange(at, at + k), side="right")
+            want[place[0] if rule == "first" else np.argmax(np.bincount(place))] += 1
+            at += k
+        got, crossing = token_counts.attribute(ends, lengths, rule)
+        assert got.tolist() == want.tolist() and crossing.sum() <= len(lengths)
+
+
+def test_section_counts_add_up(spark, codec):
+    got = token_counts.section_counts(docs(spark, ODD)).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    want = {}
+    for i, t, _, _ in ODD:
+        if t:
+            want[i] = want.get(i, 0) + len(codec.encode(t))
+    assert {r.doc_id: r.n for r in got} == want
+    assert token_counts.section_ends(np.frombuffer(b"One. Two!\nThree", np.uint8)).tolist() == [5, 10, 15]
+
+
+# Language
+
+def test_language(spark):
+    rng = np.random.default_rng(3)
+    words = {lang: ["".join(rng.choice(list(a), 6)) for _ in range(60)] for lang, a in (("xx", "abcdefg"), ("yy", "opqrstu"), ("zz", "hijklmn"))}
+    text = lambda lang, n, s: " ".join(np.random.default_rng(s).choice(words[lang], n))
+    known = docs(spark, [(i, text(lang, 60, i), lang, "a") for i, lang in enumerate(["xx", "yy", "zz"] * 20)] + [(None, "x", "xx", "a"), (99, "x", None, "a"), (98, None, "xx", "a")])
+    content = langid.dictionaries(known)
+    rows = [(i, text(lang, 200, 1000 + i), lang, "a") for i, lang in enumerate(["xx", "yy", "zz"] * 10)]
+    got = {r.doc_id: r.lang for r in langid.identify(docs(spark, rows), content).collect()}
+    assert got == {i: lang for i, _, lang, _ in rows}
+    odd = {r.doc_id: r.lang for r in langid.identify(docs(spark, [(1, None, "", ""), (2, "", "", ""), (3, "~", "", ""), (None, text("xx", 99, 1), "", "")]), content).collect()}
+    assert odd == {1: None, 2: None, 3: None, None: "xx"}
+    assert langid.identify(docs(spark, rows[:1]), {}).first().lang is None and langid.identify(docs(spark, []), content).count() == 0
+
+
+# Toxicity
+
+def test_toxicity_reaches_misspellings(spark):
+    bad = ["wretched", "dumbest", "garbage"]
+    rows = [(i, prose(60, i) + (f" {bad[i % 3]} " if i % 4 == 0 else " ") + prose(60, 500 + i), "en", "a") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, int(i % 4 == 0)) for i in range(300)] + [(None, 1, 1), (3, None, None), (9999, 0, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels)
+    test = [(1, prose(300, 901) + " wretchedd " + prose(300, 902), "en", "a"), (2, prose(600, 903), "en", "a"), (3, None, "en", "a"), (4, "", "en", "a"), (None, "garbage", "en", "a")]
+    got = {r.doc_id: r.toxic for r in toxicity.score_documents(docs(spark, test), model).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, None: True}
+    assert not toxicity.score_documents(docs(spark, test), toxicity.fit(docs(spark, []), labels)).filter("toxic").count()
+
+
+# WARC
+
+def archive(n, pack=bytes):
+    return [pack(warc.record("response", f"urn:{i}", f"http://x/{i}", (f"body {i} " * 50).encode())) for i in range(n)]
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, warc.stored_member])
+def test_salvage_recovers_what_is_whole(pack):
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        parts = archive(8, pack)
+        hit = sorted(rng.choice(8, 2, replace=False).tolist())
+        broken = [bytearray(p) for p in parts]
+        for i in hit:
+            at = rng.integers(12, len(broken[i]) - 12)
+            broken[i][at : at + 12] = bytes(b ^ 0x55 for b in broken[i][at : at + 12])
+        data = b"".join(map(bytes, broken))
+        rows = list(warc.salvage(data))
+        ids = [r[4] for r in rows if r[2] == "record"]
+        assert set(ids) >= {f"urn:{i}" for i in range(8) if i not in hit}
+        assert rows[0][0] == 0 and rows[-1][1] == len(data) and all(a[1] == b[0] for a, b in itertools.pairwise(rows))
+
+
+def test_salvage_of_nothing_and_of_noise():
+    assert not list(warc.salvage(None)) and not list(warc.salvage(b""))
+    assert [(r[0], r[1], r[2], r[7]) for r in warc.salvage(b"noise" * 9)] == [(0, 45, "gap", "bad_version")]
+    whole = archive(1)[0]
+    assert [(r[2], r[7]) for r in warc.salvage(whole[:-9])] == [("gap", "truncated")]
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_splits_read_each_record_once(spark, tmp_path, pack):
+    inner = warc.record("conversion", "urn:nested", "http://n", b"n" * 100)
+    parts = archive(20, pack)
+    parts.insert(10, pack(warc.record("response", "urn:outer", "http://o", b"p" * 300 + inner + b"q" * 300)))
+    parts.insert(5, b"\0" * 77)
+    data = b"".join(parts)
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    at = sum(map(len, parts[:5]))
+    for split in (97, 700, 1 << 20):
+        rows = warc.read_files(spark, [str(tmp_path / "a.warc"), str(tmp_path / "empty.warc")], split).orderBy("begin").collect()
+        assert [r.record_id for r in rows if r.kind == "record"] == [*[f"urn:{i}" for i in range(9)], "urn:outer", *[f"urn:{i}" for i in range(9, 20)]]
+        assert [(r.begin, r.finish) for r in rows if r.kind == "gap"] == [(at, at + 77)]
+
+
+# Neighbours
+
+def exact(x, top):
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    return s, -np.partition(-s, top - 1, axis=1)[:, top - 1]
+
+
+def test_nearest_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 400)
+    x = np.random.default_rng(6).normal(size=(1500, 24)).astype("f4")
+    x[7] = x[8]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [0.0] * 24), (5000, None), (5001, []), (5002, [1.0]), (5003, [float("nan")] * 24), (3, x[3].tolist())], "vec_id long, embedding array<float>")
+    rows = ann.nearest(df.withColumn("block", F.lit(1)), top=5).collect()
+    s, kth = exact(x / np.linalg.norm(x, axis=1, keepdims=True), 5)
+    assert {r.vec_id for r in rows} == set(range(1500))
+    assert sum(s[r.vec_id, r.neighbour] >= kth[r.vec_id] - 1e-5 for r in rows) / 7500 > 0.95
+    assert next(r.neighbour for r in rows if (r.vec_id, r["rank"]) == (7, 1)) == 8
+
+
+def test_nearest_of_few(spark):
+    kind = "vec_id long, embedding array<float>"
+    assert ann.nearest(spark.createDataFrame([], kind)).count() == 0
+    assert ann.nearest(spark.createDataFrame([(1, [1.0, 0.0])], kind)).count() == 0
+    got = ann.nearest(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 0.0])], kind)).collect()
+    assert {(r.vec_id, r["rank"], r.neighbour) for r in got} == {(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 1), (3, 2, 2)}
