@@ -17,6 +17,8 @@ Defined results
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,9 +92,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, offset
 
 def _bisect(cuts: list[int]):
     """Block number of each id: the count of cuts below it."""
-    import numpy as np
-    import pandas as pd
-
     edges = np.array(cuts, np.int64)
 
     @F.pandas_udf("int")

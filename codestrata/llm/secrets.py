@@ -18,6 +18,7 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,8 +162,6 @@ def redact(text: str, least: float = LEAST) -> str:
 
 def redact_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """All documents, their secrets replaced; ``n_chars`` follows where the text changed."""
-    import pandas as pd
-
     (new,) = fresh(docs, "_redacted")
 
     @F.pandas_udf("string")

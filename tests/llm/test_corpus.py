@@ -36,7 +36,7 @@ def test_stages_take_odd_rows_and_empty_tables(spark, stage):
     for rows in (ODD, []):
         got = stage(spark, docs(spark, rows, extra=True), "")
         assert last or set(got.columns) == set(docs(spark, []).columns)
-        assert got.count() <= len(rows)
+        assert got.count() <= len(rows) + len({r[3] for r in rows})  # mixing meets each source's target to within one
 
 
 # Quality
@@ -270,7 +270,7 @@ def test_splits_read_each_record_once(spark, tmp_path, pack):
     at = sum(map(len, parts[:5]))
     for split in (97, 700, 1 << 20):
         rows = warc.read_files(spark, [str(tmp_path / "a.warc"), str(tmp_path / "empty.warc")], split).orderBy("begin").collect()
-        assert [r.record_id for r in rows if r.kind == "record"] == [*[f"urn:{i}" for i in range(9)], "urn:outer", *[f"urn:{i}" for i in range(9, 20)]]
+        assert [r.record_id for r in rows if r.kind == "record"] == [*[f"urn:{i}" for i in range(10)], "urn:outer", *[f"urn:{i}" for i in range(10, 20)]]
         assert [(r.begin, r.finish) for r in rows if r.kind == "gap"] == [(at, at + 77)]
 
 
