@@ -93,7 +93,7 @@ class Model:
                 hard = np.flatnonzero((label == 0) & (score >= most[of] - 1e-6))
                 use = np.concatenate([use[label[use] == 0], np.repeat(use[label[use] == 1], 8), np.repeat(hard, 4)])
             rng.shuffle(use)
-            for batch in np.array_split(use, max(1, len(use) // 512)):
+            for batch in np.array_split(use, max(1, len(use) // 512, min(60, len(use) // 16))):
                 sizes = np.array([len(windows[i]) for i in batch])
                 words = np.fromiter((w for i in batch for w in windows[i]), np.int64, sizes.sum())
                 row = np.repeat(np.arange(len(batch)), sizes)
