@@ -195,7 +195,7 @@ def read_files(spark: SparkSession, paths: list[str], split_bytes: int = 64 << 2
     records = found.filter("kind = 'record'")
     # A record seen inside another one's payload by the split that begins there.
     outer = records.withColumn("reach", F.max("finish").over(within.rowsBetween(Window.unboundedPreceding, -1))).filter("reach IS NULL OR begin >= reach")
-    reasons = found.filter("kind = 'gap'").select("path", F.col("begin").alias("at"), "reason")
+    reasons = found.filter("kind = 'gap'").select("path", F.col("begin").alias("at"), F.col("finish").alias("upto"), "reason")
     sizes = spark.createDataFrame([(p, s) for p, b, _, s in splits if b == 0], "path string, size long")
     edges = outer.select("path", "begin", "finish").unionByName(sizes.select("path", F.col("size").alias("begin"), F.col("size").alias("finish")))
     holes = (
@@ -205,9 +205,8 @@ def read_files(spark: SparkSession, paths: list[str], split_bytes: int = 64 << 2
     )
     gaps = (
         holes.join(reasons, "path", "left")
-        .filter("at IS NULL OR (at >= begin AND at < finish)")
         .groupBy("path", "begin", "finish")
-        .agg(F.min_by("reason", "at").alias("reason"))
+        .agg(F.max_by("reason", F.when(F.expr("at < finish AND upto > begin"), F.col("at"))).alias("reason"))
     )
     return outer.drop("reach").unionByName(gaps.withColumn("kind", F.lit("gap")), allowMissingColumns=True)
 

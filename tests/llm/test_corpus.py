@@ -218,13 +218,17 @@ def test_language(spark):
 # Toxicity
 
 def test_toxicity_reaches_misspellings(spark):
+    prose = lambda n, seed: " ".join(np.random.default_rng(seed).choice(WORDS[:80], n))
     bad = ["wretched", "dumbest", "garbage"]
-    rows = [(i, prose(60, i) + (f" {bad[i % 3]} " if i % 4 == 0 else " ") + prose(60, 500 + i), "en", "a") for i in range(300)]
-    labels = spark.createDataFrame([(i, i % 2, int(i % 4 == 0)) for i in range(300)] + [(None, 1, 1), (3, None, None), (9999, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = [(i, prose(60, i) + (f" {bad[i % 9 // 3]} " if i % 3 == 0 else " ") + prose(60, 5000 + i), "en", "a") for i in range(1200)]
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(1200)] + [(None, 1, 1), (3, None, None), (9999, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs(spark, rows), labels)
-    test = [(1, prose(300, 901) + " wretchedd " + prose(300, 902), "en", "a"), (2, prose(600, 903), "en", "a"), (3, None, "en", "a"), (4, "", "en", "a"), (None, "garbage", "en", "a")]
+    wrong = ["wretchedd", "dumbesst", "garbagge"]  # none of them is in the labelled documents
+    test = [(i, prose(60, 20000 + i) + (f" {wrong[i % 3]} " if i % 2 else " ") + prose(60, 30000 + i), "en", "a") for i in range(200)]
     got = {r.doc_id: r.toxic for r in toxicity.score_documents(docs(spark, test), model).collect()}
-    assert got == {1: True, 2: False, 3: False, 4: False, None: True}
+    assert sum(got[i] == bool(i % 2) for i in range(200)) >= 170
+    odd = [(3, None, "en", "a"), (4, "", "en", "a"), (None, "garbage", "en", "a"), (5, prose(20000, 1) + " garbage", "en", "a")]
+    assert {r.doc_id: r.toxic for r in toxicity.score_documents(docs(spark, odd), model).collect()} == {3: False, 4: False, None: True, 5: True}
     assert not toxicity.score_documents(docs(spark, test), toxicity.fit(docs(spark, []), labels)).filter("toxic").count()
 
 
