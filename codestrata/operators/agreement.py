@@ -18,8 +18,8 @@ def agreement(pairs: DataFrame, *by: str) -> DataFrame:
         return F.rank().over(w.orderBy(c)) + (F.count("*").over(w.partitionBy(*by, c) if by else Window.partitionBy(c)) - 1) / 2.0
 
     def correlation(x: str, y: str):
-        flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-        return half_even(F.when(flat, 1.0).otherwise(F.coalesce(F.corr(x, y), F.lit(1.0))), 3)
+        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+        return half_even(F.coalesce(r, F.lit(1.0)), 3)
 
     n = F.count("*")
     return pairs.withColumn("ra", ranks("a")).withColumn("rb", ranks("b")).groupBy(*by).agg(
