@@ -3,9 +3,13 @@
 1. A document's fingerprint is the sign of the summed hash bits of its distinct word pairs (case and ASCII punctuation
    ignored; the word itself when it has one only).
 2. Documents with the same fingerprint are one group at once, so a copy costs one row from here on.
-3. Each of ``tables`` tables samples ``bits`` coordinates; fingerprints equal there share a bucket. A bucket of more
-   than ``cap`` first links all that lie within ``distance`` of its first member to that member, which settles them
-   exactly, and only the rest is split by additional coordinates, again and again, until parts are small.
+3. Each of ``tables`` tables samples ``bits`` coordinates; fingerprints equal there share a bucket. Two fingerprints
+   that differ in exactly ``distance`` bits share one with probability ``RECALL`` at least, closer ones with more: `plan`
+   takes as many tables as that needs, and the number of bits that makes this the least work for so many fingerprints.
+   No bucket is cut or split. One of more than ``cap`` returns fewer links, but they connect what all of its pairs
+   within ``distance`` connect: a leader takes all near it, each of the rest is still compared with those taken (but
+   where the triangle inequality rules them out), and then the rest goes on without them. When leaders take few, all
+   pairs that are left are compared.
 4. Pairs of a bucket count if they differ in at most ``distance`` of the 256 bits. Connected documents form a group;
    the one with the least id stays.
 
@@ -17,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,10 +32,11 @@ from pyspark.sql import functions as F
 from .common import WordHashes, checkpoint, folded_words, fresh, mix, release, slices, table
 
 WIDTH = 256
-TABLES = 28
-BITS = 14
 CAP = 256
 DISTANCE = 64
+RECALL = 0.92
+#: The fewest and most sampled bits, and what a row of a table costs in comparisons of two fingerprints.
+BITS, ROW_COST = (6, 14), 130
 _SEED = 20240229
 
 
@@ -91,35 +97,65 @@ def _samples(tables: int) -> np.ndarray:
     return np.stack([rng.permutation(WIDTH) for _ in range(tables)])
 
 
+def tables_for(bits: int, distance: int, recall: float = RECALL) -> int:
+    """How many tables let a pair at ``distance`` share a bucket with probability ``recall``."""
+    same = math.comb(WIDTH - distance, bits) / math.comb(WIDTH, bits)
+    return math.ceil(math.log1p(-recall) / math.log1p(-same)) if same < 1 else 1
+
+
+def plan(n: int, distance: int) -> tuple[int, int]:
+    """(tables, bits) for n fingerprints: rows and comparisons within buckets cost least, at a recall that n doesn't change."""
+    return min(((tables_for(b, distance), b) for b in range(BITS[0], BITS[1] + 1)), key=lambda x: x[0] * (ROW_COST + n / 2 ** (x[1] + 1)))
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
+def _grid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of each of a and each of b."""
+    d = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(a.shape[1]):
+        d += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return d
+
+
 def bucket_links(ids: np.ndarray, sigs: np.ndarray, order: np.ndarray, used: int, cap: int, distance: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Verified (a, b, distance) arrays of one bucket; sigs is (n, 4) uint64, order the table's coordinates."""
+    """Verified (a, b, distance) arrays of one bucket, which connect all that its pairs do; sigs is (n, 4) uint64.
+
+    ``order`` and ``used``, the table's coordinates, aren't needed, as no bucket is split by more of them.
+    """
     out = []
-    stack = [(np.arange(len(ids)), used)]
-    while stack:
-        at, used = stack.pop()
-        if len(at) < 2:
-            continue
-        if len(at) <= cap:
-            i, j = np.triu_indices(len(at), 1)
-            d = _distances(sigs[at[i]], sigs[at[j]])
-            near = d <= distance
-            out.append((ids[at[i[near]]], ids[at[j[near]]], d[near]))
-            continue
+    at = np.arange(len(ids))
+    vain = 0
+    while len(at) > cap and vain < 8:
         d = _distances(sigs[at[:1]], sigs[at[1:]])
         near = d <= distance
-        out.append((np.repeat(ids[at[0]], near.sum()), ids[at[1:][near]], d[near]))
-        rest = at[1:][~near]
-        if used >= WIDTH or len(rest) <= cap:
-            stack.append((rest, used))
-            continue
-        more = order[used : used + 4]
-        bits = np.unpackbits(sigs[rest].view(np.uint8).reshape(len(rest), -1), axis=1)[:, more]
-        part = bits @ (1 << np.arange(len(more)))
-        stack += [(rest[part == p], used + len(more)) for p in np.unique(part)]
+        taken, rest = at[1:][near], at[1:][~near]
+        out.append((np.repeat(ids[at[0]], len(taken)), ids[taken], d[near]))
+        by = np.argsort(d[near], kind="stable")[::-1]
+        taken, reach = taken[by], d[near][by]
+        far = np.argsort(d[~near], kind="stable")
+        away, left = d[~near][far], rest[far]
+        step = max(1, (1 << 18) // max(1, len(left)))
+        for k in range(0, len(taken), step):
+            # Of those at most reach from the leader, none is near what is more than distance + reach from it.
+            left_ = left[: np.searchsorted(away, distance + reach[k], side="right")]
+            if not len(left_):
+                break
+            g = _grid(sigs[taken[k : k + step]], sigs[left_])
+            i = g.argmin(axis=0)
+            least = g[i, np.arange(len(left_))]
+            met = least <= distance
+            out.append((ids[taken[k : k + step][i[met]]], ids[left_[met]], least[met].astype(np.int32)))
+        vain += 32 * len(taken) < len(at)
+        at = np.roll(rest, -(len(rest) // 3))
+    step = min(128, max(1, (1 << 20) // max(1, len(at))))
+    for k in range(0, len(at), step):
+        g = _grid(sigs[at[k : k + step]], sigs[at[k:]])
+        i, j = np.nonzero(g <= distance)
+        i, j = i[upper := i < j], j[upper]
+        out.append((ids[at[k + i]], ids[at[k + j]], g[i, j].astype(np.int32)))
     return out
 
 
@@ -200,10 +236,11 @@ def components(edges: DataFrame) -> DataFrame:
             )
 
 
-def near_duplicates(docs: DataFrame, tables: int = TABLES, bits: int = BITS, cap: int = CAP, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, tables: int | None = None, bits: int | None = None, cap: int = CAP, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, duplicate_of): each document that goes, and the one of its group that stays."""
     signed = checkpoint(with_fingerprints(docs).groupBy("sig").agg(F.min("doc_id").alias("id"), F.array_sort(F.collect_set("doc_id")).alias("same")))
-    pairs = candidate_pairs(signed, tables, bits, cap, distance)
+    bits = bits or plan(signed.count(), distance)[1]
+    pairs = candidate_pairs(signed, tables or tables_for(bits, distance), bits, cap, distance)
     roots = components(pairs.select("a", "b"))
     grouped = signed.select("id", "same").join(roots, "id", "left")
     members = grouped.select(F.explode("same").alias("doc_id"), F.coalesce("root", "id").alias("duplicate_of"))

@@ -73,6 +73,65 @@ def test_buckets_split_without_losing_copies():
     assert joined >= set(range(700))
 
 
+def connected(n, pairs):
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in range(n)]
+
+
+def flipped(rng, sig, k):
+    bits = np.unpackbits(sig)
+    bits[rng.choice(256, k, replace=False)] ^= 1
+    return np.packbits(bits)
+
+
+@pytest.mark.parametrize("centres", [2, 40, 600])
+def test_large_buckets_connect_what_brute_force_connects(centres):
+    rng = np.random.default_rng(centres)
+    sigs = [rng.integers(0, 256, 32, dtype=np.uint8) for _ in range(centres)]
+    while len(sigs) < 1200:  # chains too: a member near one that its centre's leader took, but not near the leader
+        sigs.append(flipped(rng, sigs[rng.integers(0, len(sigs))], rng.integers(20, 90)))
+    x = np.stack(sigs)[rng.permutation(len(sigs))].view(np.uint64).reshape(-1, 4)
+    near = np.argwhere(np.triu(np.stack([simhash._distances(r[None], x) for r in x]) <= 64, 1))
+    links = simhash.bucket_links(np.arange(len(x)), x, rng.permutation(256), 10, 128, 64)
+    assert all((simhash._distances(x[a], x[b]) == d).all() and (d <= 64).all() for a, b, d in links)
+    assert connected(len(x), [(int(a), int(b)) for la, lb, _ in links for a, b in zip(la, lb, strict=True)]) == connected(len(x), near.tolist())
+
+
+def test_candidates_recall_against_brute_force_with_buckets_over_cap(spark):
+    rng = np.random.default_rng(12)
+    biased = rng.random(256) < 0.6  # bits that nearly all have alike, so that buckets are large
+    sigs = [np.packbits(np.where(biased, rng.random(256) < 0.03, rng.random(256) < 0.5)) for _ in range(1500)]
+    sigs += [flipped(rng, sigs[i], 64) for i in range(500)]
+    df = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "id long, sig binary")
+    tables, bits = simhash.plan(len(sigs), simhash.DISTANCE)
+    keys = np.unpackbits(np.stack(sigs), axis=1)[:, simhash._samples(1)[0][:bits]]
+    assert np.unique(keys, axis=0, return_counts=True)[1].max() > 32
+    links = [(r.a, r.b) for r in simhash.candidate_pairs(df, tables, bits, 32, simhash.DISTANCE).select("a", "b").distinct().collect()]
+    root = connected(len(sigs), links)
+    assert sum(root[i] == root[1500 + i] for i in range(500)) >= 0.9 * 500
+
+
+@pytest.mark.parametrize("n", [100, 10**4, 10**6, 10**9])
+def test_recall_at_the_distance_is_the_same_for_any_size(n):
+    tables, bits = simhash.plan(n, simhash.DISTANCE)
+    x = np.random.default_rng(3).random((20000, 256)).argpartition(64, axis=1)[:, :64]  # bits in which a pair differs
+    differs = np.zeros((20000, 256), bool)
+    np.put_along_axis(differs, x, True, axis=1)
+    met = np.zeros(20000, bool)
+    for order in simhash._samples(tables):
+        met |= ~differs[:, order[:bits]].any(axis=1)
+    assert met.mean() >= 0.9
+
+
 def test_dedup_keeps_one_of_each_group(spark):
     rows = [(10 * i, prose(120, i), "en", "a") for i in range(40)]
     for i in range(10):
