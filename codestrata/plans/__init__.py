@@ -234,6 +234,12 @@ def cycles(s, d):
     return graph.strong_components(e)
 
 
+@query()
+def cycles_all(s, d):
+    """Cycles over all edges; `cycles` and its SQL have those between keys of the same residue modulo 10 only."""
+    return graph.strong_components(fx.edges(s, d).select(F.col("l_partkey").alias("src"), F.col("to_key").alias("dst")))
+
+
 @query("WITH RECURSIVE c(id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 0 UNION ALL SELECT p.p_partkey, depth + 1 FROM part p JOIN c ON c.id = p.p_partkey // 3 WHERE p.p_partkey > 0) SELECT id, depth FROM c")
 def base_depth(s, d):
     return graph.base_depth(s, fx.read(s, d, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey > 0 THEN p_partkey DIV 3 END AS base"))

@@ -1,8 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from codestrata import plans
 from codestrata.functions import identity as names
 from codestrata.functions.rounding import half_even
 from codestrata.functions.scores import HEALTH_PARTS, interpolate, maintainability
@@ -86,6 +88,31 @@ def test_strong_components(spark, pairs, want):
     assert {r.id: r.component for r in got.collect()} == want
 
 
+def order_tables(spark, folder, orders, parts):
+    """Tables whose edges are the neighbouring parts of each order."""
+    lines = [(o, i + 1, p, 1, 1.0, 1.0) for o, ps in enumerate(orders) for i, p in enumerate(ps)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(p, f"n{p}", f"Brand#{p % 3}", f"type {p % 4}", 1) for p in range(parts)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    return [(a, b) for ps in orders for a, b in zip(ps, ps[1:], strict=False)]
+
+
+def test_cycles_over_all_edges_against_brute_force(spark, tmp_path):
+    rng = random.Random(7)
+    pairs = order_tables(spark, tmp_path, [[rng.randrange(60) for _ in range(rng.randrange(2, 4))] for _ in range(45)], 60)
+    reach = {a: {b for x, b in pairs if x == a} for a in range(60)}
+    for k in range(60):
+        for a in range(60):
+            if k in reach[a]:
+                reach[a] = reach[a] | reach[k]
+    want = {}
+    for a in range(60):
+        same = [b for b in range(60) if b != a and b in reach[a] and a in reach[b]]
+        if same:
+            want[a] = min(a, *same)
+    assert want and any(a % 10 != b % 10 for a, b in want.items())
+    assert {r.id: r.component for r in plans.QUERIES["cycles_all"](spark, str(tmp_path)).collect()} == want
+
+
 def test_resolution_levels(spark):
     known = spark.createDataFrame([("1", "A.B.X", "A.B", "X"), ("2", "A.X", "A", "X"), ("3", "C.Y", "C", "Y"), ("4", "D.Z", "D", "Z"), ("5", "E.Z", "E", "Z")], "type_id string, qualified string, namespace string, simple string")
     refs = spark.createDataFrame([("q", "A.X", "Q"), ("inner", "X", "A.B"), ("outer", "X", "A.K"), ("simple", "Y", "Q"), ("ambiguous", "Z", "Q"), ("near", "Z", "E")], "ref_id string, name string, scope string")
