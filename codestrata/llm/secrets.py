@@ -2,10 +2,16 @@
 
 A text is lexed for assignments as source code and configuration files write them: ``name = "x"``, ``name: 'x'``,
 ``"name": "x"``, ``name => x``, ``name := x``, ``Type name = "x"``, ``name: Type = "x"``, ``export NAME=x``, ``<a name="x">``
-and bare ``NAME=x`` at the start of a line. Literals joined by ``+``, ``.`` or nothing are one. A right side that is a name
-takes the literal that this name has at that place (constants are propagated, over any number of steps; a name assigned
+``--name=x`` and bare ``NAME=x``; literals in three quotes or backticks and private keys may span lines. Literals joined
+by ``+``, ``.`` or nothing are one. A right side that is a name takes the literal that this name has at that place (constants are propagated, over any number of steps; a name assigned
 anew has its new value from there on). A literal's score adds up what its target name says, how random it looks, and
-whether it has a known form; placeholders and references to the environment score nothing. ``score >= least`` is a finding.
+whether it has a known form; placeholders and references to the environment score nothing. ``score >= least`` is a finding; a
+literal of a known form is one whatever its name says.
+
+A bare value is a literal if it has a known form or a digit, or ends its line and is neither a dotted name nor
+assignments itself, as those are code.
+Amid a line a bare value after ``:`` is taken as prose unless it has a known form or both letters and digits, and one after
+``=`` only counts for names that score 0.5.
 
 Defined results: null and empty texts have no findings; a text without ``=`` and ``:`` can have none and is not lexed;
 texts are lexed whole and in linear time; a literal found twice at the same place counts once, repeated rows repeat
@@ -28,15 +34,17 @@ from .common import fresh, slices, table
 LEAST = 0.6
 REDACTED = "[REDACTED]"
 
-_STRING = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`)"""
+_STRING = r"""(?:\"{3}(?:[^"\\]|\\(?s:.)|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\(?s:.)|'(?!''))*+'{3}|"-----BEGIN[^"]*+"|'-----BEGIN[^']*+'|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\(?s:.))*+`)"""
+_PEM = r"(?:[|>][+\-]?+[ \t]*+\n)?+[ \t]*+-----BEGIN[ ](?:[^-]|-(?!----(?:BEGIN|END)))*+-----END[ ][A-Z0-9 ]*+-----"
 _ASSIGNMENT = re.compile(
     rf"""
-    (?<![\w.$\-])(?P<quote>["']?)(?P<name>[A-Za-z_$][\w.$\-]*+)(?P=quote)   # target, perhaps in quotes
+    (?<![\w.$\-])(?:--?)?(?P<quote>["']?)(?P<name>[A-Za-z_$][\w.$\-]*+)(?P=quote)   # target, perhaps in quotes
     (?:\[(?P<key>{_STRING})\])?+                                            # config["password"]
     [ \t]*+(?::[ \t]*+[A-Za-z_][\w<>\[\].|?]*+[ \t]*+(?==[^=>]))?+           # name: Type =
     (?P<op>:=|=>|=(?![=>])|:(?![:/]))[ \t]*+
     (?P<right>
         [rbfuRBFU@]{{0,2}}{_STRING}(?:[ \t]*+[+.]?+[ \t]*+(?:\n[ \t]*+[+.]?+[ \t]*+)?+{_STRING})*+
+      | (?P<pem>{_PEM})
       | \$?[^\s"'`,;(){{}}\[\]<>]++
     )
     """,
@@ -57,6 +65,17 @@ _FORM = re.compile(
 )
 
 
+_DIGIT = re.compile(r"\d")
+_END = re.compile(r"[ \t\r]*(?:#.*)?(?:\n|\Z)")
+_DOTTED = re.compile(r"\$?[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)+")
+_PUBLIC = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:CERTIFICATE|PUBLIC KEY)")
+
+
+def _content(literal: str) -> str:
+    """What stands within a literal's quotes."""
+    return literal[3:-3] if literal[:3] in ('"""', "'''") and len(literal) >= 6 else literal[1:-1]
+
+
 def name_score(name: str) -> float:
     """How much a target's name says that its value is secret, 0 to 0.5."""
     parts = [p.lower() for p in _PART.findall(name)]
@@ -73,7 +92,7 @@ def literal_score(value: str) -> float:
     """How much a literal looks like a secret, 0 to 0.6; below 0 for placeholders."""
     if len(value) < 4 or _PLACEHOLDER.match(value):
         return -1.0
-    if _FORM.match(value):
+    if _FORM.match(value.strip()):
         return 0.6
     if any(c.isspace() for c in value):
         return 0.05 if len(value) < 80 else 0.0
@@ -87,7 +106,7 @@ def scan(text: str, least: float = LEAST) -> list[tuple[str, int, int, str, floa
     """Findings (name, begin, end, how, score) in order of place: the literal's place in characters, within its quotes."""
     values: dict[str, tuple[int, int, str]] = {}
     found: dict[tuple[int, int], tuple[str, str, float]] = {}
-    at = 0
+    at, digit_at = 0, -1
     while m := _ASSIGNMENT.search(text, at):
         at = m.end("op")
         name, right, begin = m["name"], m["right"], m.start("right")
@@ -95,26 +114,36 @@ def scan(text: str, least: float = LEAST) -> list[tuple[str, int, int, str, floa
         how = "literal"
         literals = list(_LITERAL.finditer(right))
         if literals:
-            at = m.end()
-            value = "".join(x[0][1:-1] for x in literals)
-            place = (begin + literals[0].start() + 1, begin + literals[-1].end() - 1)
+            if not any("\n" in x[0] for x in literals):
+                at = m.end()  # what spans lines is also read for assignments inside it
+            value = "".join(_content(x[0]) for x in literals)
+            lead, tail = ((len(x[0]) - len(_content(x[0]))) // 2 for x in (literals[0], literals[-1]))
+            place = (begin + literals[0].start() + lead, begin + literals[-1].end() - tail)
+        elif m["pem"]:
+            at, how = m.end(), "bare"
+            value = right[right.index("-----BEGIN") :]
+            place = (m.end() - len(value), m.end())
         elif _NAME.match(right.rstrip(".:")) and (known := values.get(right.rstrip(".:").lstrip("$"))):
             how = "propagated"
             *place, value = known
         else:
             line = text.rfind("\n", 0, m.start()) + 1
             head = text[line : m.start()] if m.start() - line < 80 else "…"
-            if m["op"] == ":" and not re.fullmatch(r"[ \t\-#]*(?:export[ \t]+)?", head):
+            if digit_at < begin:
+                digit_at = d.start() if (d := _DIGIT.search(text, begin)) else len(text)
+            known, digit = bool(_FORM.match(right)), digit_at < begin + len(right)
+            mixed = digit and m["op"] == ":" and bool(re.search(r"[A-Za-z]", right))
+            if m["op"] == ":" and not (known or mixed or re.fullmatch(r"[ \t\-#]*(?:export[ \t]+)?", head)):
                 continue
-            if m["op"] != ":" and not re.fullmatch(r"(?:[ \t\-#;&?]|export\b|set\b|const\b|let\b|var\b|ENV\b)*", head) and name_score(target) < 0.5:
+            if m["op"] != ":" and not known and not re.fullmatch(r"(?:[ \t\-#;&?]|export\b|set\b|const\b|let\b|var\b|ENV\b)*", head) and name_score(target) < 0.5:
                 continue
-            if not re.search(r"\d", right):
+            if not (known or digit or (right.find("=", 0, len(right) - 2) < 0 and not _PLACEHOLDER.match(right.rstrip("=")) and _END.match(text, m.end()) and not _DOTTED.fullmatch(right))):
                 continue
             value, how = right, "bare"
             place = (begin, begin + len(right))
         values[target] = (*place, value)
         score = name_score(target)
-        if score:
+        if score or (_FORM.match(value.strip()) and not _PUBLIC.match(value.strip())):
             score = round(score + literal_score(value), 4)
             key = (place[0], place[1])
             if score >= least and (key not in found or found[key][2] < score):
