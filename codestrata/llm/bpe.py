@@ -153,8 +153,36 @@ def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(run, "doc_id long, text string")
 
 
+def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, tokens, decoded_bytes, decoded, same): the ids, the text decoded from them, whether it is the input.
+
+    A null text has a null text and null for ``same``; ``decoded_bytes`` are counted in what was decoded.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(ranks.value)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                flat, counts, nulls = codec.encode_batch(part.column(1))
+                ids, ends = flat.tolist(), np.cumsum(counts).tolist()
+                raw = [None if null else b"".join(map(codec.tokens.__getitem__, ids[b:e])) for b, e, null in zip([0, *ends], ends, nulls.tolist(), strict=False)]
+                texts = [None if r is None else r.decode("utf-8", "replace") for r in raw]
+                same = [None if t is None else t == d for t, d in zip(part.column(1).to_pylist(), texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), pa.array(counts.astype(np.int32), mask=nulls), list_array(flat, counts, pa.int32(), nulls),
+                        pa.array([None if r is None else len(r) for r in raw], pa.int64()), pa.array(texts, pa.string()), pa.array(same, pa.bool_()),
+                    ],
+                    ["doc_id", "n_tokens", "tokens", "decoded_bytes", "decoded", "same"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_tokens int, tokens array<int>, decoded_bytes long, decoded string, same boolean")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return round_trip(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op4_bpe_encode_decode": op4}

@@ -250,6 +250,12 @@ def test_encode_and_decode_documents(spark):
     assert back == {(i, t) for i, t, _, _ in ODD}
 
 
+def test_op4_decodes_what_it_encoded(spark, tmp_path):
+    docs(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    got = bpe.op4(spark, str(tmp_path)).collect()
+    assert sorted(map(str, ((r.doc_id, r.decoded, r.same, r.decoded_bytes) for r in got))) == sorted(map(str, ((i, t, None if t is None else True, None if t is None else len(t.encode())) for i, t, _, _ in ODD)))
+
+
 @pytest.mark.parametrize("rule", ["most", "first"])
 def test_attribution_against_a_loop(rule):
     rng = np.random.default_rng(2)
