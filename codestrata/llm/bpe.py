@@ -7,7 +7,8 @@ Of these places only those are used where the pre-splitting pattern cuts or cont
 white space that follows something else, and between two ASCII letters that do not end a contraction. So the result
 is the one of encoding the whole text.
 
-Defined results: null text has null ids, empty text an empty list; a text of any length is encoded whole; rows are
+Defined results: null text has null ids, empty text an empty list; a text of any length is encoded whole, also one that is a
+single run of white space, letters or marks; rows are
 independent, so repeated rows repeat their result; an empty table gives an empty one. Decoding null gives null, and
 ids that do not form UTF-8 give U+FFFD in place of the bad bytes; an unknown id is an error.
 """
@@ -15,6 +16,7 @@ ids that do not form UTF-8 give U+FFFD in place of the bad bytes; an unknown id
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -56,27 +58,53 @@ def boundary_table(ranks: dict[bytes, int]) -> np.ndarray:
     return ~inside & (before_space | between)
 
 
+#: White space as the pattern's \\s has it, in UTF-8; runs of ``LONG`` characters and more are split outside the pattern.
+_WHITE = rb"(?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
+LONG = 4096
+_RUN = re.compile(_WHITE + rb"{%d,}+" % LONG)
+_LAST = re.compile(_WHITE + rb"\Z")
+
+
 class _Encoded(dict):
-    """fragment -> its ids as the bytes of int32, encoded on demand; emptied past ``limit`` fragments.
+    """fragment -> its ids as the bytes of int32, encoded on demand; emptied when it holds ``limit`` bytes.
 
-    Ids are kept as bytes, since lists by the hundred thousand would be walked by every garbage collection.
+    Ids are kept as bytes, since lists by the hundred thousand would be walked by every garbage collection. A fragment of
+    more than ``LONG`` bytes is encoded each time.
     """
 
     def __init__(self, bpe, limit: int) -> None:
         super().__init__()
-        self.encode, self.limit = bpe.encode_ordinary, limit
+        self.encode, self.piece, self.limit, self.held = bpe.encode_ordinary, bpe._encode_single_piece, limit, 0
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= self.limit:
+        if len(piece) > LONG:
+            return b"".join(self.parts(piece))
+        if self.held >= self.limit:
             self.clear()
+            self.held = 0
         self[piece] = ids = array("i", self.encode(piece.decode())).tobytes()
+        self.held += len(piece) + len(ids) + 200
         return ids
 
+    def parts(self, data: bytes) -> Iterator[bytes]:
+        """As the pattern splits it: of a long run of white space all but the last character is one piece, at the end the whole of it.
+
+        The pattern itself would go back over the run, one call deeper for each character.
+        """
+        at = 0
+        for run in _RUN.finditer(data):
+            if run.start() > at:
+                yield array("i", self.encode(data[at : run.start()].decode())).tobytes()
+            at = run.end() if run.end() == len(data) else run.start() + _LAST.search(run[0][-3:]).start() + max(0, len(run[0]) - 3)
+            yield array("i", self.piece(data[run.start() : at])).tobytes()
+        if at < len(data):
+            yield array("i", self.encode(data[at:].decode())).tobytes()
+
 
 class Codec:
     """Encodes and decodes with one vocabulary; made once per task."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, cached: int = 800_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, cached: int = 256 << 20) -> None:
         import tiktoken
 
         bpe = tiktoken.Encoding("fragments", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

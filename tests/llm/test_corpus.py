@@ -268,7 +268,7 @@ def test_attribution_against_a_loop(rule):
             place = np.searchsorted(ends, np.arange(at, at + k), side="right")
             want[place[0] if rule == "first" else np.argmax(np.bincount(place))] += 1
             at += k
-        got, crossing = token_counts.attribute(ends, lengths, rule)
+        got, crossing = token_counts.attribute(ends, np.cumsum(lengths) - lengths, np.cumsum(lengths), rule)
         assert got.tolist() == want.tolist() and crossing.sum() <= len(lengths)
 
 
@@ -282,6 +282,60 @@ def test_section_counts_add_up(spark, codec):
     assert token_counts.section_ends(np.frombuffer(b"One. Two!\nThree", np.uint8)).tolist() == [5, 10, 15]
 
 
+def test_sections_are_in_characters_and_tokens_of_parts_of_one_have_it(spark, codec):
+    text = "Où été? 中文🙂 ok. né"
+    rows = token_counts.section_counts(docs(spark, [(1, text, "fr", "a")])).orderBy("section").collect()
+    assert [text[r.begin : r.end] for r in rows] == ["Où été? ", "中文🙂 ok. ", "né"]
+    at, want, ends = 0, [0, 0, 0], [r.end for r in rows]
+    for n in codec.lengths[codec.encode(text)].tolist():
+        held = [0, 0, 0]
+        for i in range(at, at + n):  # the characters whose bytes the token has
+            c = sum(b & 0xC0 != 0x80 for b in text.encode()[: i + 1]) - 1
+            held[next(k for k, e in enumerate(ends) if c < e)] += 1
+        want[held.index(max(held))] += 1
+        at += n
+    assert [r.n_tokens for r in rows] == want
+
+
+def test_given_sections_and_fields(spark, codec):
+    spans = [(1, "abc def ghi", [(4, 7), (0, 2), (None, 3), (5, 9), (90, 99)]), (2, "no spans", None), (3, None, [(0, 1)]), (None, "", [])]
+    df = spark.createDataFrame(spans, "doc_id long, text string, marks array<struct<begin:int,end:int>>").withColumn("section", F.lit(1))
+    got = sorted((r.doc_id, r.begin, r.end, r.section) for r in token_counts.section_counts(df, sections="marks").collect())
+    assert got == [(1, 0, 2, 1), (1, 2, 4, -1), (1, 4, 7, 0), (1, 7, 9, 3), (1, 9, 11, -1), (2, 0, 8, -1)]
+    rows = spark.createDataFrame([(1, "A title", "The body of it"), (2, None, "x"), (2, None, "x")], "doc_id long, title string, body string")
+    fields = {(r.doc_id, r.field): r.n_tokens for r in token_counts.field_counts(rows, ["title", "body"]).collect()}
+    assert fields[1, "title"] == len(codec.encode("A title")) and fields[1, "title"] + fields[1, "body"] + fields[1, None] == len(codec.encode("A title\n\nThe body of it"))
+    assert fields[2, "body"] == 2
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\u00a0", "!", "a"])
+def test_long_runs_are_encoded_whole(spark, codec, unit):
+    import tiktoken
+
+    plain = tiktoken.Encoding("whole", pat_str=bpe.PATTERN, mergeable_ranks=bpe.load_ranks(), special_tokens={})
+    for n in (4095, 4096, 9000):
+        for before, after in (("", ""), ("x", " y"), ("x ", "é"), ("\t", "'ll")):
+            t = before + unit * n + after
+            assert codec.encode(t).tolist() == plain.encode_ordinary(t)
+    df = docs(spark, [(1, unit * 1_500_000 + "x", "en", "a"), (2, unit * 1_500_000, "en", "a")])
+    got = bpe.round_trip(df).select("doc_id", "n_tokens", "decoded_bytes", "same").collect()
+    size = 1_500_000 * len(unit.encode())
+    assert sorted((r.doc_id, r.decoded_bytes, r.same) for r in got) == [(1, size + 1, True), (2, size, True)]
+    if unit == "\n":  # a section for each otherwise
+        df = docs(spark, [(1, unit * 50_000 + "x", "en", "a")])
+    counted = {r.doc_id: r.n for r in token_counts.section_counts(df).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert counted == {r.doc_id: r.n_tokens for r in bpe.encode_documents(df).collect()}
+
+
+def test_fragments_are_forgotten_by_bytes(codec):
+    import tiktoken
+
+    known = bpe._Encoded(tiktoken.Encoding("f", pat_str=bpe.PATTERN, mergeable_ranks=bpe.load_ranks(), special_tokens={}), 5000)
+    for i in range(300):
+        known[f"{i} word".encode()]
+        assert known.held < 5500 and len(known) < 40
+
+
 # Language
 
 def test_language(spark):
