@@ -1,6 +1,7 @@
 """Small cases of the corpus operators: nulls, empty tables, ties, repeated rows, clashing columns, brute force."""
 
 import gzip
+import hashlib
 import itertools
 
 import numpy as np
@@ -11,7 +12,7 @@ import corpus_pipeline
 from codestrata.llm import ann, bpe, langid, mixing, quality, secrets, simhash, token_counts, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = {"step": "x", "sig": 1, "id": 2, "n": 3, "copies": 4, "_source": "s", "label": 5, "block": 6}
+CLASH = {"step": "x", "sig": 1, "id": 2, "n": 3, "copies": 4, "_source": "s", "label": 5, "block": 6, "h": 7, "d": 8, "s": 9, "p": 10, "_hash": 11}
 
 
 def docs(spark, rows, extra=False):
@@ -195,24 +196,37 @@ def test_redaction(spark):
 
 # Mixing
 
-@pytest.mark.parametrize("block_rows", [4096, 16, 2])
-def test_mixing_against_a_loop(spark, monkeypatch, block_rows):
-    monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
+@pytest.mark.parametrize("chunk", [4096, 3])
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_mixing_against_a_loop(spark, monkeypatch, chunk, ids):
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
     rows = [(i, f"t{i}", "en", "abc"[i % 3 if i % 5 else 0]) for i in range(200)] + [(7, "t7", "en", "b"), (None, "n", "en", None), (300, None, "en", None)]
-    got = sorted((r.source or "", -1 if r.doc_id is None else r.doc_id, r.copy) for r in mixing.mix_sources(docs(spark, rows, extra=True), copy_column="copy").collect())
+    rows += [(500, "same", "en", "a")] * 40 + [(None, None, None, "c")] * 11  # repeated rows and null ids
+    df = docs(spark, rows, extra=True).withColumn("doc_id", F.col("doc_id").cast(ids))
+    got = sorted((r.source or "", "" if r.doc_id is None else str(r.doc_id), r.copy) for r in mixing.mix_sources(df, copy_column="copy").collect())
     sizes = {}
     for r in rows:
         sizes[r[3]] = sizes.get(r[3], 0) + 1
     whole = sum(n**0.5 for n in sizes.values())
+    digest = lambda t: "" if t is None else hashlib.md5(t.encode()).hexdigest()
+    order = (lambda i: i) if ids == "long" else str
     want = []
     for s, n in sizes.items():
-        step, total = int(n**0.5 / whole * len(rows) / n * mixing.MILLION), mixing.OFFSET
-        for i, t, _, _ in sorted((r for r in rows if r[3] == s), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-            want += [(s or "", -1 if i is None else i, k + 1) for k in range((total + step) // mixing.MILLION - total // mixing.MILLION)]
-            total += step
+        target = int(n**0.5 / whole * len(rows) * mixing.MILLION)
+        for k, (i, _, _, _) in enumerate(sorted((r for r in rows if r[3] == s), key=lambda r: (r[0] is not None, r[0] is not None and order(r[0]), digest(r[1])))):
+            upto = [(mixing.OFFSET * n + j * target) // (n * mixing.MILLION) for j in (k, k + 1)]
+            want += [(s or "", "" if i is None else str(i), c + 1) for c in range(upto[1] - upto[0])]
     assert got == sorted(want)
 
 
+def test_mixing_has_no_rounded_steps(spark):
+    rows = 10**12
+    for target in (10**6, 7 * 10**17 + 1):  # one document of the source, and about seven in ten
+        e = spark.range(1).select(F.lit(rows).alias("n"), F.lit(target).alias("t"))
+        got = e.select(mixing._up_to(str(rows), "t", "n", 0).alias("x")).first().x
+        assert got == target // 10**6
+
+
 def test_mixing_weights(spark):
     rows = [(i, "t", "en", "a" if i < 80 else "b") for i in range(100)]
     got = [r.source for r in mixing.mix_sources(docs(spark, rows), {"a": 1, "b": 1}).collect()]
