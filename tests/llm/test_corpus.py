@@ -186,6 +186,37 @@ def test_secret_scan_of_bare_values_flags_lines_and_forms(text, names):
     assert [f[0] for f in secrets.scan(text)] == names
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("DB_PASSWORD=hunterhunter", ["DB_PASSWORD"]), (f"<config><password>{KEY}</password></config>", ["password"]), (f"password: >\n  {KEY}\nnext: 1", ["password"]), (f"{' ' * 90}password: {KEY}", ["password"]), (f"{' ' * 9000}password: {KEY}", ["password"]),
+        (f"secret:\n  value: {KEY}\nother:\n  value: {KEY[::-1]}", ["secret.value"]), (f'{{"token": {{"value": "{KEY}"}}, "b": {{"value": "{KEY}"}}}}', ["token.value"]),
+        (f"env:\n  - name: DB_PASSWORD\n    value: {KEY}\n  - name: COLOUR\n    value: {KEY}", ["DB_PASSWORD.value"]), (f'<add key="Password" value="{KEY}"/>', ["Password.value"]), (f'{{"name": "API_KEY", "value": "{KEY}"}}', ["API_KEY.value"]),
+        (f"// don't use it\nvar token = '{KEY}'", ["token"]), (f'# password = "{KEY}"', ["password"]), (f'/* token: "{KEY}" */', ["token"]), (r'password = "\u0063hangeme"', []), (f"a = '{KEY[:9]}'\nsecret = a + '{KEY[9:]}'", ["secret"]), (f"a = '{KEY[9:]}'\nsecret = '{KEY[:9]}' + a", ["secret"]),
+        (f"script: |\n  export TOKEN={KEY}\n", ["TOKEN"]), ("password: |\n  some words of prose\n", []), ("{" * 50_000 + "}" * 50_000, []), ("a:\n" * 20_000, []), ("<a>" * 20_000, []), ("a: |\n " * 300, []),
+    ],
+)
+def test_secret_lexer_states(text, names):
+    assert [f[0] for f in secrets.scan(text)] == names
+
+
+def test_secrets_against_a_slow_reading(spark):
+    """Random files of known pairs: what the lexer finds is what they were made of, at the place where it was put."""
+    rng = np.random.default_rng(8)
+    forms = ['{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "export {n}={v}", "{n} := `{v}`", "<{n}>{v}</{n}>", "--{n}={v}", 'const {n}: string = "{v}";', "{n}: >\n    {v}", "'{n}' => '{v}',"]
+    for _ in range(300):
+        text, want = "", []
+        for _ in range(rng.integers(1, 9)):
+            secret = rng.random() < 0.5
+            n = str(rng.choice(["db_password", "apiSecret", "auth_token"] if secret else ["colour", "page_size", "heading"]))
+            v = "".join(rng.choice(list("abcdefghjkm23456789XYZ"), 18)) + "7a"
+            line = str(rng.choice(forms)).format(n=n, v=v)
+            if secret:
+                want.append((n, len(text) + line.index(v), len(text) + line.index(v) + len(v)))
+            text += line + "\n" + str(rng.choice(["", "it's plain prose, isn't it\n", "# a comment\n", "\n\n"]))
+        assert [f[:3] for f in secrets.scan(text)] == want, text
+
+
 def test_redaction(spark):
     rows = [(1, f'say token = "{KEY}" twice token = "{KEY}"', "en", "a"), (2, "no: thing", "en", "a"), (3, None, "en", "a"), (None, "", "en", "a")]
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact_documents(docs(spark, rows)).collect()}
@@ -429,6 +460,35 @@ def test_splits_read_each_record_once(spark, tmp_path, pack):
         assert [(r.begin, r.finish) for r in rows if r.kind == "gap"] == [(at, at + 77)]
 
 
+def test_headers_of_any_length_and_false_starts():
+    head = b"WARC/1.0\r\nWARC-Record-ID: <urn:long>\r\nX: " + b"y" * 3_000_000 + b"\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    assert [(r[2], r[4], r[6]) for r in warc.salvage(head)] == [("record", "urn:long", b"ok")]
+    noise = b"WARC/1.0\r\n" * 50_000 + b"WARC/1.0\r\na: b\r\n" * 50_000
+    rows = list(warc.salvage(noise + head))
+    assert [(r[2], r[1] - r[0]) for r in rows] == [("gap", len(noise)), ("record", len(head))]
+
+
+def test_damage_reads_no_further_than_its_split(spark, tmp_path, monkeypatch):
+    parts = archive(40)
+    parts[20] = b"WARC/1.0\r\nbroken " + b"z" * 900
+    data = b"".join(parts)
+    (tmp_path / "a.warc").write_bytes(data)
+    for split in (300, 1000, 5000):
+        rows = warc.read_files(spark, [str(tmp_path / "a.warc")], split).orderBy("begin").collect()
+        at = sum(map(len, parts[:20]))
+        assert [r.record_id for r in rows if r.kind == "record"] == [f"urn:{i}" for i in range(40) if i != 20]
+        assert [(r.begin, r.finish, r.reason) for r in rows if r.kind == "gap"] == [(at, at + len(parts[20]), "bad_header")]
+
+
+def test_blobs_and_captures_of_odd_rows(spark):
+    pages = spark.createDataFrame([(None, "u", "h"), (4, None, None), (4, None, None), (3, "u", "x" * 70_000)], "page_id long, url string, html string")
+    rows = warc.read_blobs(warc.captures(pages.withColumn("number", F.lit(1))), "page_id", "warc").collect()
+    assert sorted((str(r.page_id), r.number, r.kind) for r in rows) == sorted([("None", i, "record") for i in range(3)] + [("4", i, "record") for i in range(3)] * 2 + [("3", i, "gap" if i == 1 else "record") for i in range(3)])
+    clash = spark.createDataFrame([("k", b"".join(archive(2))), ("n", None)], "number string, payload binary")
+    assert [(r._number, r.number) for r in warc.read_blobs(clash, "number", "payload").collect()] == [("k", 0), ("k", 1)]
+    assert warc.read_blobs(warc.captures(pages.limit(0)), "page_id", "warc").count() == 0
+
+
 # Neighbours
 
 def exact(x, top):
