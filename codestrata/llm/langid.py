@@ -5,11 +5,14 @@ cut into pieces of ``PIECE`` bytes, since over a longer stretch any compressor l
 every piece is compressed with every dictionary, and the sizes are added up. The language of the least sum wins if the
 next one is larger by ``MARGIN`` of it at least, else the text is rejected (``lang`` is null).
 
-The dictionaries take, for each language, the ``SAMPLE`` documents of least hash of the id, up to ``EVEN`` bytes of each
-and ``SIZE`` in all. Everything else, the classified text too, is taken whole.
+The labelled sample is bounded by documented parameters: of each language the ``SAMPLE`` documents of least hash among
+those of ``SHORT`` characters at most; in that order whole texts go into the dictionary if they still fit into its
+``SIZE`` bytes. No text is cut. The driver so receives at most ``SAMPLE`` x ``SHORT`` characters a language, and more
+than ``LANGUAGES`` labels are an error. Everything else is taken whole: every text is classified, in all of its pieces.
 
 Defined results: null or blank text is rejected with sizes 0, as is every text while no language is known; equal sums
-leave no margin and are rejected; null labels teach nothing; null ids stay null; repeated rows repeat their result; an
+leave no margin and are rejected; null labels and null ids teach nothing, nor does a language all of whose documents are
+longer than ``SHORT``; repeated rows repeat their result, and teach once; null ids stay null; extra columns are not read; an
 empty table gives an empty one.
 """
 
@@ -22,26 +25,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, unit_hash
+from .common import slices, table
 
-SAMPLE, EVEN, SIZE = 64, 512, 32_768
+SAMPLE, SHORT, SIZE, LANGUAGES = 64, 4000, 32_768, 2000
 PIECE = 1024
 LEVEL = 5
 MARGIN = 0.03
 
 
-def dictionaries(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
-    """language -> dictionary content."""
-    known = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND trim(text) <> ''")
-    chosen = known.select("lang", "doc_id", unit_hash("doc_id").alias("h")).withColumn(
-        "n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ).filter(F.col("n") <= sample)
-    # At most ``sample`` rows a language: small enough to send to every task.
-    rows = known.select("lang", "doc_id", "text").join(F.broadcast(chosen.select("lang", "doc_id", "n")), ["lang", "doc_id"])
+def dictionaries(docs: DataFrame, sample: int = SAMPLE, short: int = SHORT) -> dict[str, bytes]:
+    """language -> dictionary content.
+
+    The hashes are chosen first: at most ``sample`` of each of ``LANGUAGES`` languages, so they can be sent to every task.
+    """
+    if docs.select("lang").distinct().limit(LANGUAGES + 2).count() > LANGUAGES + 1:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    known = docs.filter(f"lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) <= {int(short)} AND trim(text) <> ''")
+    rows = known.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = rows.select("lang", "h").distinct().withColumn("n", nth).filter(F.col("n") <= sample).drop("n")
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     parts: dict[str, list[bytes]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.lang, -r.n, r.text)):
-        parts.setdefault(r.lang, []).append(r.text.encode()[:EVEN])
-    return {lang: b"\n".join(p)[-SIZE:] for lang, p in parts.items()}
+    held: dict[str, int] = {}
+    for lang, _, text in sorted((r.lang, r.h, r.text) for r in texts.collect()):
+        data = text.encode()
+        if held.get(lang, 0) + len(data) + 1 <= SIZE:
+            parts.setdefault(lang, []).append(data)
+            held[lang] = held.get(lang, 0) + len(data) + 1
+    return {lang: b"\n".join(p) for lang, p in parts.items()}
 
 
 class Classifier:
