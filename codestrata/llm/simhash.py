@@ -14,9 +14,11 @@
    the one with the least id stays.
 
 Defined results
-* null id, null text or text without words: never compared, always kept;
-* an id that occurs in several rows: they are one document, whose first text in order stays (one row);
-* equal texts are at distance 0, however short; ties cannot occur, as ids decide; empty tables give empty ones.
+* null id: never compared, every row kept; null text or text without words: never compared, kept;
+* an id that occurs in several rows: all of its texts are compared, and if one of them goes, the id and all of its rows go;
+  else one row stays, the one whose text has the least hash (of rows alike in id and text any one, whatever is in other columns);
+* equal texts are at distance 0, however short; ties cannot occur, as ids decide; empty tables give empty ones; columns of
+  any name are kept.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, checkpoint, folded_words, fresh, mix, release, slices, table
@@ -237,24 +239,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, tables: int | None = None, bits: int | None = None, cap: int = CAP, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, duplicate_of): each document that goes, and the one of its group that stays."""
-    signed = checkpoint(with_fingerprints(docs).groupBy("sig").agg(F.min("doc_id").alias("id"), F.array_sort(F.collect_set("doc_id")).alias("same")))
+    """(doc_id, duplicate_of): each document that goes, and the one of its group that stays.
+
+    The members of a fingerprint are rows, never one list; many of one fingerprint are joined with its one root.
+    """
+    made = checkpoint(with_fingerprints(docs))
+    signed = checkpoint(made.groupBy("sig").agg(F.min("doc_id").alias("id")))
     bits = bits or plan(signed.count(), distance)[1]
     pairs = candidate_pairs(signed, tables or tables_for(bits, distance), bits, cap, distance)
     roots = components(pairs.select("a", "b"))
-    grouped = signed.select("id", "same").join(roots, "id", "left")
-    members = grouped.select(F.explode("same").alias("doc_id"), F.coalesce("root", "id").alias("duplicate_of"))
-    return members.filter("doc_id <> duplicate_of").distinct()
+    rooted = signed.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("duplicate_of"))
+    return made.join(rooted, "sig").select("doc_id", "duplicate_of").filter("doc_id <> duplicate_of").distinct()
 
 
 def deduplicate(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents that stay, with the columns they came with."""
-    gone = near_duplicates(docs, **options)
-    n, g = fresh(docs, "_nth", "_gone")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    numbered = docs.filter("doc_id IS NOT NULL").withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1)
-    kept = numbered.join(gone.select(F.col("doc_id").alias(g)), F.col("doc_id").cast("long") == F.col(g), "left_anti")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """The documents that stay, with the columns they came with.
+
+    Ids decide; the texts are moved once, to be joined with the ids that go or occur in several rows.
+    """
+    gone = near_duplicates(docs, **options).select(F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("h")).distinct()
+    key = F.col("doc_id").cast("long")
+    rows = docs.select(key.alias("id"), F.xxhash64("text").alias("h")).filter("id IS NOT NULL")
+    several = checkpoint(rows.groupBy("id").agg(F.count("*").alias("n"), F.min("h").alias("h")).filter("n > 1").select("id", "h"))
+    ids = several.unionByName(gone).groupBy("id").agg(F.min(F.struct("h")).alias("first"))  # a row of null hash comes first: gone
+    i, f = fresh(docs, "_id", "_first")
+    found = docs.join(ids.select(F.col("id").alias(i), F.col("first").alias(f)), key == F.col(i), "left")
+    out = found.filter(F.col(f).isNull())
+    if several.limit(1).count():
+        repeated = found.filter(F.col(f)["h"] == F.xxhash64("text"))
+        out = out.unionByName(repeated.dropDuplicates([i]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
