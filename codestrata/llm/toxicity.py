@@ -11,12 +11,14 @@ A document's score is the highest probability of any of its windows (every run o
 long text count as much as in a short one. The softmax is linear, so a word's share of a window's logit is one number, kept
 for each distinct word.
 
-Training takes at most ``MOST_TOXIC`` toxic and ``MOST_CLEAN`` clean labelled documents, those of least hash of the id;
-one in five of them is held out to set the cutoff. Everything else is scored whole.
+Training takes at most ``MOST_TOXIC`` toxic and ``MOST_CLEAN`` clean labelled documents, those of least hash of the id, and
+of these the ones of ``MOST_CHARS`` characters at most; one in five of them is held out to set the cutoff. Everything is
+scored, and scored whole.
 
 Defined results: null or blank text scores 0 and is not toxic; null ids stay null; labels of unknown documents, null
-labels and null ids teach nothing; without toxic or clean examples nothing is toxic; repeated rows are scored alike;
-an empty table gives an empty one.
+labels and null ids teach nothing; an id that is labelled both ways is toxic, one with several texts teaches through the
+first in order; without toxic or clean examples nothing is toxic; a score equal to the cutoff is toxic; repeated rows are
+scored alike; extra columns are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import folded_words, slices, table, unit_hash
 
-MOST_TOXIC, MOST_CLEAN = 2000, 3000
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 3000, 50_000
 WINDOW = 12
+#: Windows that one step of the training adds up.
+BATCH = 64
 ROWS, WIDTH = 1 << 16, 8
 EPOCHS = 4
 _SEED = 7
@@ -93,7 +97,7 @@ class Model:
                 hard = np.flatnonzero((label == 0) & (score >= most[of] - 1e-6))
                 use = np.concatenate([use[label[use] == 0], np.repeat(use[label[use] == 1], 8), np.repeat(hard, 4)])
             rng.shuffle(use)
-            for batch in np.array_split(use, max(1, len(use) // 512, min(60, len(use) // 16))):
+            for batch in np.array_split(use, max(1, len(use) // BATCH)):
                 sizes = np.array([len(windows[i]) for i in batch])
                 words = np.fromiter((w for i in batch for w in windows[i]), np.int64, sizes.sum())
                 row = np.repeat(np.arange(len(batch)), sizes)
@@ -161,14 +165,16 @@ class Scorer(dict):
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
     """A model trained on the bounded sample of labelled documents."""
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
+    given = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
+    known = given.groupBy("id").agg(F.max("label").alias("label"))
     sample = None
     for label, most in ((1, most_toxic), (0, most_clean)):
         part = known.filter(F.col("label") == label).orderBy(unit_hash("id"), "id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text IS NOT NULL")
-    rows = texts.join(F.broadcast(sample), "id").collect()
-    rows.sort(key=lambda r: (r.id, r.text))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.length("text") <= MOST_CHARS)
+    # At most most_toxic + most_clean pairs of numbers are sent to every task, and as many texts of MOST_CHARS come back.
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.id)
     words = [folded_words(r.text) for r in rows]
     toxic = np.array([r.label == 1 for r in rows], bool)
     held = np.array([zlib.crc32(str(r.id).encode()) % 5 == 0 for r in rows], bool)
