@@ -37,8 +37,9 @@ WIDTH = 256
 CAP = 256
 DISTANCE = 64
 RECALL = 0.92
-#: The fewest and most sampled bits, and what a row of a table costs in comparisons of two fingerprints.
-BITS, ROW_COST = (6, 14), 130
+#: The fewest and most sampled bits, and what a row of a table costs in comparisons of two fingerprints (20 ns each): 3 us of CPU, and 47
+#: bytes that are written, sent and read, at 20 MB a second and core.
+BITS, ROW_COST = (6, 14), 500
 _SEED = 20240229
 
 
@@ -115,10 +116,17 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _grid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of each of a and each of b."""
-    d = np.zeros((len(a), len(b)), np.uint16)
+    """Distances of each of a and each of b, up to 255 (a pair that differs in all bits has that too)."""
+    words = np.ascontiguousarray(b.T)
+    differ, count = np.empty((len(a), len(b)), np.uint64), np.empty((len(a), len(b)), np.uint8)
+    d = np.zeros((len(a), len(b)), np.uint8)
     for w in range(a.shape[1]):
-        d += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+        np.bitwise_xor(a[:, w, None], words[w], out=differ)
+        np.bitwise_count(differ, out=count)
+        if w < 3:
+            d += count
+        else:
+            np.add(d, np.minimum(count, 255 - d), out=d)
     return d
 
 
@@ -152,7 +160,7 @@ def bucket_links(ids: np.ndarray, sigs: np.ndarray, order: np.ndarray, used: int
             out.append((ids[taken[k : k + step][i[met]]], ids[left_[met]], least[met].astype(np.int32)))
         vain += 32 * len(taken) < len(at)
         at = np.roll(rest, -(len(rest) // 3))
-    step = min(128, max(1, (1 << 20) // max(1, len(at))))
+    step = max(1, (1 << 16) // max(1, len(at)))  # a grid that stays in the processor's cache
     for k in range(0, len(at), step):
         g = _grid(sigs[at[k : k + step]], sigs[at[k:]])
         i, j = np.nonzero(g <= distance)
