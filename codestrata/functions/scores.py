@@ -15,7 +15,7 @@ def halstead(n1: Column, n2: Column, total1: Column, total2: Column) -> dict[str
 def maintainability(volume: Column, cyclomatic: Column, lines: Column) -> Column:
     """0 at least, 100 for code without volume; nothing bounds it above."""
     raw = (171.0 - 5.2 * F.log(volume) - 0.23 * cyclomatic - 16.2 * F.log(F.greatest(lines, F.lit(1)).cast("double"))) * 100.0 / 171.0
-    return F.when(volume <= 0, 100.0).otherwise(F.greatest(F.lit(0.0), raw))
+    return F.when(volume.isNull(), None).when(volume <= 0, 100.0).otherwise(F.greatest(F.lit(0.0), raw))
 
 
 def interpolate(x: Column, ten: float, five: float, one: float) -> Column:

@@ -1,28 +1,34 @@
 """Agreement of two scores of the same things."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_even, mean
 
 
-def agreement(pairs: DataFrame, *by: str) -> DataFrame:
+def agreement(pairs: DataFrame, *by: str, nontrivial: float | None = None) -> DataFrame:
     """For columns a and b: share equal, share within 1, mean and greatest difference, Pearson and Spearman correlation.
 
-    Spearman's takes average ranks of ties; a correlation that is undefined counts as 1.
+    Spearman's takes average ranks of ties; a correlation that is undefined counts as 1. With ``nontrivial``, only pairs of which one
+    exceeds it count. Null values are left out.
     """
+    pairs = pairs.filter("a IS NOT NULL AND b IS NOT NULL")
+    if nontrivial is not None:
+        pairs = pairs.filter((F.col("a") > nontrivial) | (F.col("b") > nontrivial))
     d = F.abs(F.col("a") - F.col("b"))
 
-    def ranks(c: str):
-        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(w.partitionBy(*by, c) if by else Window.partitionBy(c)) - 1) / 2.0
+    def ranks(c: str, name: str) -> DataFrame:
+        """Average rank of each value: prefix sums over the counts of distinct values, not over the rows."""
+        counts = pairs.groupBy(*by, c).agg(F.count("*").alias("_n"))
+        order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.select(*by, c, (F.sum("_n").over(order) - (F.col("_n") - 1) / 2.0).alias(name))
 
-    def correlation(x: str, y: str):
+    def correlation(x: str, y: str) -> Column:
         r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
         return half_even(F.coalesce(r, F.lit(1.0)), 3)
 
     n = F.count("*")
-    return pairs.withColumn("ra", ranks("a")).withColumn("rb", ranks("b")).groupBy(*by).agg(
+    return pairs.join(ranks("a", "ra"), [*by, "a"]).join(ranks("b", "rb"), [*by, "b"]).groupBy(*by).agg(
         n.alias("n"), half_even(mean(F.count_if(d == 0), n) * 100, 1).alias("exact"), half_even(mean(F.count_if(d <= 1), n) * 100, 1).alias("within_1"),
         half_even(mean(F.sum(d), n), 2).alias("mae"), F.max(d).alias("max_delta"),
         correlation("a", "b").alias("pearson"),
@@ -33,15 +39,20 @@ def agreement(pairs: DataFrame, *by: str) -> DataFrame:
 def nearest_lines(ours: DataFrame, theirs: DataFrame, reach: int = 5) -> DataFrame:
     """Greedy one-to-one match of equal keys by nearest line, at most ``reach`` off, in the order of our lines.
 
-    ours: (key, line, a); theirs: (key, line, b). Rows of ours without a match get b = 0.
+    ours: (key, line, a); theirs: (key, line, b). Rows of ours without a match get b = 0; of two lines equally near the lesser
+    one is taken, and of several rows of a line the one of least b.
     """
+    from bisect import bisect_left
+
     import pandas as pd
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free, out = sorted(zip(right["line"], right["b"], strict=True)), []
-        for line, a, key in sorted(zip(left["line"], left["a"], left["key"], strict=True)):
-            at = min(range(len(free)), key=lambda i: abs(free[i][0] - line), default=None)
-            b = free.pop(at)[1] if at is not None and abs(free[at][0] - line) <= reach else 0
+        free, out = sorted(zip(right["line"].tolist(), right["b"].tolist(), strict=True)), []
+        for line, a, key in sorted(zip(left["line"].tolist(), left["a"].tolist(), left["key"].tolist(), strict=True)):
+            at = bisect_left(free, (line,))
+            if at > 0 and (at == len(free) or line - free[at - 1][0] <= free[at][0] - line):
+                at = bisect_left(free, (free[at - 1][0],))
+            b = free.pop(at)[1] if at < len(free) and abs(free[at][0] - line) <= reach else 0
             out.append((key, line, a, b))
         return pd.DataFrame(out, columns=["key", "line", "a", "b"])
 

@@ -70,3 +70,28 @@ def around(edges: DataFrame, matched: DataFrame) -> DataFrame:
         edges.join(matched.withColumnRenamed("type_id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("type_id"))
     )
     return matched.select("type_id").union(near).distinct()
+
+
+def matching(edges: DataFrame, text: str) -> DataFrame:
+    """Edges that have a text in one of their ends or their kind, whatever its case."""
+    wanted = F.lit(text.lower())
+    return edges.filter(F.contains(F.lower("from_id"), wanted) | F.contains(F.lower("to_id"), wanted) | F.contains(F.lower("kind"), wanted))
+
+
+def incident(edges: DataFrame, matched: DataFrame) -> DataFrame:
+    """Edges that touch one of the matched types (type_id) at either end, each once."""
+    m = matched.select("type_id").distinct()
+    ends = edges.withColumn("_at", F.explode(F.array_distinct(F.array("from_id", "to_id")))).join(m.withColumnRenamed("type_id", "_at"), "_at", "left_semi")
+    return ends.drop("_at").distinct()
+
+
+def visible_rollup(edges: DataFrame, types: DataFrame, visible: DataFrame) -> DataFrame:
+    """Edges between the nearest visible ancestors (prefix) of the namespaces of their ends, counted; pairs of one ancestor and ends without one go.
+
+    A namespace is joined by its prefixes, so it takes an equi-join.
+    """
+    parts = F.split("namespace", "\\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    shown = types.select("namespace").distinct().withColumn("prefix", F.explode(above)).join(visible.select("prefix").distinct(), "prefix", "left_semi")
+    nearest = shown.groupBy("namespace").agg(F.max_by("prefix", F.length("prefix")).alias("shown"))
+    return rolled_up(edges, types.join(nearest, "namespace"), "shown")

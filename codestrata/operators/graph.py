@@ -1,16 +1,17 @@
 """Iterative graph operators: rank, strongly connected components, depth of base chains."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import checkpoint
 
 
-def rank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
+def rank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """PageRank over distinct edges (src, dst) between different known vertices (id); the ranks add up to 1.
 
-    The mass of vertices without successors is spread evenly. With a tolerance, rounds end when ranks move by less in sum;
-    it is looked at, and lineage is cut, once in ``every`` rounds.
+    The mass of vertices without successors is spread evenly. With a tolerance, rounds end when ranks move by less in sum. A
+    round reads the one before it once: what vertices pass on and what those without successors lose is one aggregation,
+    written to the shared folder. Jobs run while the result is planned.
     """
     nodes = checkpoint(vertices.select("id").distinct())
     n = nodes.count()
@@ -18,25 +19,25 @@ def rank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, most: int
         return nodes.withColumn("rank", F.lit(0.0))
     pairs = edges.filter("src <> dst").select("src", "dst").distinct()
     known = pairs.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    links = checkpoint(known.join(known.groupBy("src").agg(F.count("*").alias("out")), "src"))
-    sinks = nodes.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("sink", F.lit(1))
-    base = checkpoint(nodes.join(sinks, "id", "left"))
-    now = base.withColumn("rank", F.lit(1.0 / n))
-    for i in range(1, most + 1):
-        flow = links.join(now.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("flow"))
-        lost = now.agg(F.coalesce(F.sum(F.when(F.col("sink") == 1, F.col("rank"))), F.lit(0.0)).alias("lost"))
-        after = base.join(flow, "id", "left").crossJoin(lost).select(
-            "id", "sink", ((1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)).alias("rank")
-        )
-        last, now = now, after
-        if i % every == 0 or i == most:
-            now = checkpoint(now)
-            if tolerance is not None:
-                moved = now.join(last.select("id", F.col("rank").alias("old")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-                if moved < tolerance:
-                    break
-    total = now.agg(F.sum("rank").alias("total"))
-    return now.crossJoin(total).select("id", (F.col("rank") / F.col("total")).alias("rank"))
+    degrees = known.groupBy("src").agg(F.count("*").alias("out"))
+    # A vertex without successors has one link, to nowhere.
+    links = checkpoint(nodes.withColumnRenamed("id", "src").join(known.join(degrees, "src"), "src", "left").select("src", "dst", F.coalesce("out", F.lit(1)).alias("out")))
+
+    def ranks(flow: DataFrame, lost: float) -> DataFrame:
+        passed = flow.filter("dst IS NOT NULL").withColumnRenamed("dst", "id")
+        return nodes.join(passed, "id", "left").select("id", ((1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + lost / n)).alias("rank"))
+
+    now = nodes.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(most):
+        flow = checkpoint(links.join(now.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("flow")))
+        sink = flow.filter("dst IS NULL").first()
+        last, now = now, ranks(flow, sink["flow"] if sink else 0.0)
+        if tolerance is not None:
+            moved = now.join(last.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            if moved < tolerance:
+                break
+    total = now.agg(F.sum("rank")).first()[0]
+    return now.select("id", (F.col("rank") / total).alias("rank"))
 
 
 def _reach(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -88,12 +89,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
         rest = checkpoint(rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
 
 
-def base_depth(spark: SparkSession, bases: DataFrame) -> DataFrame:
-    """(id, depth): length of the chain of bases (id, base) above each type, by a recursive query."""
-    bases.createOrReplaceTempView("codestrata_bases")
-    return spark.sql(
-        """WITH RECURSIVE chain(id, depth) AS (
-             SELECT id, 0 FROM codestrata_bases WHERE base IS NULL
-             UNION ALL SELECT b.id, c.depth + 1 FROM codestrata_bases b JOIN chain c ON b.base = c.id)
-           SELECT id, depth FROM chain"""
+def base_depth(bases: DataFrame) -> DataFrame:
+    """(id, depth): length of the chain of bases (id, base) above each type.
+
+    A base outside the table counts as one level, as what is above it isn't known. Types of a chain that leads into a circle have
+    null. Of several rows of an id the least base counts. Every round doubles how far a type sees, so chains of any length take
+    rounds by their logarithm.
+    """
+    one = bases.groupBy("id").agg(F.min("base").alias("base"))
+    known = one.select(F.col("id").alias("base"), F.lit(True).alias("there"))
+    state = checkpoint(
+        one.join(known, "base", "left").select("id", F.when(F.col("there"), F.col("base")).alias("to"), F.when(F.col("base").isNull(), 0).otherwise(1).alias("depth"))
     )
+    rounds = max(1, state.count()).bit_length() + 1
+    for _ in range(rounds):
+        if not state.filter("to IS NOT NULL").limit(1).count():
+            break
+        ahead = state.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("depth").alias("more"))
+        state = checkpoint(state.join(ahead, "to", "left").select("id", F.col("further").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    return state.select("id", F.when(F.col("to").isNull(), F.col("depth")).alias("depth"))

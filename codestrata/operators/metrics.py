@@ -8,29 +8,54 @@ from ..functions.scores import health, maintainability
 
 
 def method_metrics(methods: DataFrame) -> DataFrame:
-    mi = half_even(maintainability(F.col("volume"), F.col("cyc"), F.col("lines")), 1)
-    return methods.select("type_id", "method", "start_line", "cog", "cyc", "nesting", "params", "lines", mi.alias("mi"))
+    """One row for each method that has a cognitive complexity; members of other kinds have no row.
+
+    A missing cyclomatic complexity is 1, a missing nesting 0, and maintainability is null without a volume. Columns
+    ``member_kind``, ``difficulty``, ``effort`` and ``bugs`` are used where they are there.
+    """
+    has = set(methods.columns)
+    rows = methods.filter("cog IS NOT NULL" + (" AND member_kind = 'Method'" if "member_kind" in has else ""))
+    cyc, lines = F.coalesce("cyc", F.lit(1)), F.coalesce("lines", F.lit(0))
+    mi = half_even(maintainability(F.col("volume"), cyc, lines), 1)
+    more = [half_even(F.col(c), d).alias(c) for c, d in (("difficulty", 2), ("effort", 1), ("bugs", 4)) if c in has]
+    return rows.select("type_id", "method", "start_line", "cog", cyc.alias("cyc"), F.coalesce("nesting", F.lit(0)).alias("nesting"), "params", lines.alias("lines"), mi.alias("mi"), *more)
+
+
+def weighted_methods(members: DataFrame) -> DataFrame:
+    """(type_id, wmc): cyclomatic complexities of all members that have one, whatever their kind, added up."""
+    return members.groupBy("type_id").agg(F.coalesce(F.sum("cyc"), F.lit(0)).alias("wmc"))
 
 
 def type_metrics(types: DataFrame, methods: DataFrame) -> DataFrame:
-    """One row for each type but enums and delegates; zeros and null maintainability without methods."""
-    m = method_metrics(methods).filter("cog IS NOT NULL").groupBy("type_id").agg(
-        F.count("*").alias("method_count"), F.sum("cog").alias("sum_cog"), F.max("cog").alias("max_cog"),
-        F.sum("cyc").alias("sum_cyc"), F.max("cyc").alias("max_cyc"), F.max("nesting").alias("max_nesting"),
-        F.count_if(F.col("params") > 4).alias("many_params"),
-        F.sum(F.rint(F.col("mi") * 10).cast("long")).alias("sum_mi"), F.min("mi").alias("min_mi"),
+    """One row for each type but enums and delegates; zeros and null maintainability without methods.
+
+    Means of maintainability are over the methods that have one. The methods are read once: what is summed over
+    all members and what over those with a cognitive complexity are conditional sums of one aggregation.
+    """
+    has = set(methods.columns)
+    counted = F.col("cog").isNotNull()
+    if "member_kind" in has:
+        counted = counted & (F.col("member_kind") == "Method")
+    cyc = F.coalesce("cyc", F.lit(1))
+    mi = half_even(maintainability(F.col("volume"), cyc, F.coalesce("lines", F.lit(0))), 1)
+    of = lambda c: F.when(counted, c)
+    m = methods.groupBy("type_id").agg(
+        F.count_if(counted).alias("method_count"), F.sum(of(F.col("cog"))).alias("sum_cog"), F.max(of(F.col("cog"))).alias("max_cog"),
+        F.sum(of(cyc)).alias("sum_cyc"), F.max(of(cyc)).alias("max_cyc"), F.max(of(F.coalesce("nesting", F.lit(0)))).alias("max_nesting"),
+        F.count_if(counted & (F.col("params") > 4)).alias("many_params"), F.sum("cyc").alias("wmc"),
+        F.sum(of(F.rint(mi * 10).cast("long"))).alias("sum_mi"), F.count(of(mi)).alias("n_mi"), F.min(of(mi)).alias("min_mi"),
     )
     joined = types.filter(~F.col("kind").isin("enum", "delegate")).join(m, "type_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    n = F.col("method_count")
+    n = F.nullif(F.col("method_count"), F.lit(0))
     avg_cog = F.coalesce(mean(F.col("sum_cog"), n), F.lit(0.0))
     score = health(avg_cog=avg_cog, max_cog=zero("max_cog"), line_count=F.col("line_count"), method_count=zero("method_count"), max_nesting=zero("max_nesting"), many_params=zero("many_params"))
     return joined.select(
         "type_id", "name", "namespace", "assembly", "kind", "line_count",
         zero("method_count").alias("method_count"), half_even(avg_cog, 1).alias("avg_cog"), zero("max_cog").alias("max_cog"),
         half_even(F.coalesce(mean(F.col("sum_cyc"), n), F.lit(0.0)), 1).alias("avg_cyc"), zero("max_cyc").alias("max_cyc"),
-        zero("max_nesting").alias("max_nesting"), zero("many_params").alias("many_params"), zero("sum_cyc").alias("wmc"),
-        half_even(mean(F.col("sum_mi"), n) / 10.0, 1).alias("avg_mi"), F.col("min_mi"), half_even(score, 1).alias("health"),
+        zero("max_nesting").alias("max_nesting"), zero("many_params").alias("many_params"), zero("wmc").alias("wmc"),
+        half_even(mean(F.col("sum_mi"), F.nullif(F.col("n_mi"), F.lit(0))) / 10.0, 1).alias("avg_mi"), F.col("min_mi"), half_even(score, 1).alias("health"),
     )
 
 

@@ -1,6 +1,6 @@
 """Roll-ups along dotted namespaces."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_even, mean
@@ -42,3 +42,23 @@ def common_prefix(names: DataFrame) -> DataFrame:
     n = whole.agg(F.count("*").alias("n"))
     found = with_prefixes(whole, "name").groupBy("prefix").agg(F.count("*").alias("c"))
     return found.crossJoin(n).filter("c = n AND n >= 2").agg(F.max_by("prefix", F.length("prefix")).alias("p")).filter("p IS NOT NULL").select(F.concat("p", F.lit(".")).alias("prefix"))
+
+
+#: Keys of the panels of worst types and methods: column, whether low values come first, what null counts as.
+TYPE_KEYS = {"health": ("health", True, None), "cog": ("max_cog", False, None), "cyc": ("max_cyc", False, None), "loc": ("line_count", False, None), "nest": ("max_nesting", False, None), "cbo": ("cbo", False, None), "mi": ("avg_mi", True, 100.0), "smells": ("smells", False, 0)}
+
+
+def _key(name: str, low_first: bool, instead: float | None) -> Column:
+    c = F.col(name) if instead is None else F.coalesce(F.col(name), F.lit(instead))
+    return c.asc_nulls_last() if low_first else c.desc_nulls_last()
+
+
+def panel(types: DataFrame, key: str = "health", n: int = 20) -> DataFrame:
+    """The n types that are worst by a key (health, cog, cyc, loc, nest, cbo, mi, smells); ties by cognitive complexity and id, nulls last."""
+    return types.orderBy(_key(*TYPE_KEYS[key]), F.desc_nulls_last("max_cog"), "type_id").limit(n)
+
+
+def method_panel(methods: DataFrame, key: str = "cog", n: int = 20) -> DataFrame:
+    """The n methods that are worst by a column; ties by complexities, lines and name."""
+    first = F.coalesce("mi", F.lit(100.0)).asc() if key == "mi" else F.desc_nulls_last(key)
+    return methods.orderBy(first, F.desc("cog"), F.desc("cyc"), F.desc("lines"), "type_id", "method", "start_line").limit(n)

@@ -11,7 +11,11 @@ from ..functions import identity as names
 from ..functions.rounding import half_even
 from ..functions.scores import bucket, halstead
 from ..operators import agreement, edges, graph, metrics, resolve, rollup, rules, sketch, snapshots
+from .. import sinks
+from ..operators import dependencies
+from ..sources import code, projects
 from . import fixtures as fx
+from . import source_fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -115,12 +119,14 @@ _FOUND = " UNION ALL ".join([
 _FULL = f"{_TM}, full_types AS (SELECT m.*, (m.line_count % 11)::DOUBLE / 10 AS lcom, CAST(ca + ce AS BIGINT) AS cbo, CAST(m.line_count // 22 % 9 AS INTEGER) AS dit FROM type_metrics m JOIN coupling USING (type_id)), findings AS ({_FOUND})"
 
 
-def _findings(s, d):
-    t = fx.types(s, d)
-    full = _types(s, d).join(edges.coupling(fx.edges(s, d), t), "type_id").withColumns({
+def _with_coupling(s, d, type_rows):
+    return type_rows.join(edges.coupling(fx.edges(s, d), fx.types(s, d)), "type_id").withColumns({
         "lcom": (F.col("line_count") % 11).cast("double") / 10, "cbo": F.col("ca") + F.col("ce"), "dit": F.expr("CAST(line_count DIV 22 % 9 AS INT)"),
     })
-    return rules.findings(full, metrics.method_metrics(fx.methods(s, d)))
+
+
+def _findings(s, d):
+    return rules.findings(_with_coupling(s, d, _types(s, d)), metrics.method_metrics(fx.methods(s, d)))
 
 
 @query(f"{_FULL} SELECT * FROM findings")
@@ -213,36 +219,29 @@ def neighbourhood(s, d):
 
 @query(f"""{_MM.replace('WITH ', 'WITH RECURSIVE ', 1)}, v AS (SELECT p_partkey AS id, count(*) OVER () AS n FROM part),
   l AS (SELECT *, count(*) OVER (PARTITION BY src) AS deg FROM (SELECT DISTINCT l_partkey AS src, to_key AS dst FROM edges WHERE l_partkey <> to_key)),
-  pr(i, id, rank) AS (
-    SELECT 0, id, 1.0::DOUBLE / n FROM v
+  pr(i, id, rank, moved) AS (
+    SELECT 0, id, 1.0::DOUBLE / n, 1.0::DOUBLE FROM v
     UNION ALL
-    SELECT x.i + 1, x.id, 0.15::DOUBLE / x.n + 0.85::DOUBLE * (coalesce(f.flow, 0) + x.lost / x.n)
-    FROM (SELECT pr.i, pr.id, v.n, (SELECT coalesce(sum(rank), 0) FROM pr WHERE id NOT IN (SELECT src FROM l)) AS lost FROM pr JOIN v USING (id)) x
-    LEFT JOIN (SELECT dst, sum(rank / deg) AS flow FROM l JOIN pr ON pr.id = src GROUP BY dst) f ON f.dst = x.id WHERE x.i < 10)
-  SELECT id, round_even(rank / (SELECT sum(rank) FROM pr WHERE i = 10), 6) AS rank FROM pr WHERE i = 10""")
+    SELECT i, id, rank, sum(abs(rank - old)) OVER () FROM (
+      SELECT x.i + 1 AS i, x.id, 0.15::DOUBLE / x.n + 0.85::DOUBLE * (coalesce(f.flow, 0) + x.lost / x.n) AS rank, x.rank AS old
+      FROM (SELECT pr.i, pr.id, pr.rank, pr.moved, v.n, (SELECT coalesce(sum(rank), 0) FROM pr WHERE id NOT IN (SELECT src FROM l)) AS lost FROM pr JOIN v USING (id)) x
+      LEFT JOIN (SELECT dst, sum(rank / deg) AS flow FROM l JOIN pr ON pr.id = src GROUP BY dst) f ON f.dst = x.id WHERE x.i < 100 AND x.moved >= 1e-6))
+  SELECT id, round_even(rank / (SELECT sum(rank) FROM pr WHERE i = (SELECT max(i) FROM pr)), 6) AS rank FROM pr WHERE i = (SELECT max(i) FROM pr)""")
 def type_rank(s, d):
     e = fx.edges(s, d).select(F.col("l_partkey").alias("src"), F.col("to_key").alias("dst"))
-    r = graph.rank(e, fx.read(s, d, "part").select(F.col("p_partkey").alias("id")), most=10, tolerance=None)
+    r = graph.rank(e, fx.read(s, d, "part").select(F.col("p_partkey").alias("id")))
     return r.select("id", half_even(F.col("rank"), 6).alias("rank"))
 
 
-@query(f"""{_MM.replace('WITH ', 'WITH RECURSIVE ', 1)}, b AS (SELECT DISTINCT l_partkey AS src, to_key AS dst FROM edges WHERE l_partkey <> to_key AND l_partkey % 10 = to_key % 10),
-  reach(a, z) AS (SELECT src, dst FROM b UNION SELECT a, dst FROM reach JOIN b ON z = src)
-  SELECT x.a AS id, least(x.a, min(x.z)) AS component FROM reach x JOIN reach y ON x.a = y.z AND x.z = y.a WHERE x.a <> x.z GROUP BY x.a""")
-def cycles(s, d):
-    e = fx.edges(s, d).filter("l_partkey % 10 = to_key % 10").select(F.col("l_partkey").alias("src"), F.col("to_key").alias("dst"))
-    return graph.strong_components(e)
-
-
 @query()
-def cycles_all(s, d):
-    """Cycles over all edges; `cycles` and its SQL have those between keys of the same residue modulo 10 only."""
+def cycles(s, d):
+    """Cycles over all edges. SQL would have to hold every pair that reaches each other."""
     return graph.strong_components(fx.edges(s, d).select(F.col("l_partkey").alias("src"), F.col("to_key").alias("dst")))
 
 
-@query("WITH RECURSIVE c(id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 0 UNION ALL SELECT p.p_partkey, depth + 1 FROM part p JOIN c ON c.id = p.p_partkey // 3 WHERE p.p_partkey > 0) SELECT id, depth FROM c")
+@query("WITH RECURSIVE c(id, depth) AS (SELECT p_partkey, CASE WHEN p_partkey = 0 THEN 0 ELSE 1 END FROM part WHERE p_partkey = 0 OR p_partkey % 10 = 9 UNION ALL SELECT p.p_partkey, depth + 1 FROM part p JOIN c ON c.id = p.p_partkey // 3 WHERE p.p_partkey > 0 AND p.p_partkey % 10 <> 9) SELECT id, depth FROM c")
 def base_depth(s, d):
-    return graph.base_depth(s, fx.read(s, d, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey > 0 THEN p_partkey DIV 3 END AS base"))
+    return graph.base_depth(fx.read(s, d, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 10 = 9 THEN -1 WHEN p_partkey > 0 THEN p_partkey DIV 3 END AS base"))
 
 
 # Roll-ups
@@ -265,7 +264,8 @@ def namespace_assembly(s, d):
     return rollup.dominant_assembly(fx.types(s, d))
 
 
-@query("SELECT 'Brand.' AS prefix")
+@query(f"""{_MM}, n AS (SELECT DISTINCT namespace || '.' || name AS x FROM types), c AS (SELECT array_to_string(string_split(x, '.')[1:i], '.') || '.' AS prefix FROM (SELECT min(x) AS x FROM n), unnest(range(1, 9)) t(i) WHERE i <= len(string_split(x, '.')))
+  SELECT prefix FROM c WHERE (SELECT count(*) FROM n) >= 2 AND (SELECT bool_and(starts_with(n.x, c.prefix)) FROM n) ORDER BY length(prefix) DESC LIMIT 1""")
 def common_prefix(s, d):
     return rollup.common_prefix(fx.types(s, d).select(F.concat_ws(".", "namespace", "name").alias("name")))
 
@@ -287,12 +287,19 @@ def grid_clusters(s, d):
 
 # Snapshots
 
-_BEFORE = f"before_ AS ({fx.type_metrics_sql(f'(SELECT * FROM method_metrics WHERE l_shipdate < TIMESTAMP {chr(39)}{fx.DAY}{chr(39)})')}), after_ AS ({fx.type_metrics_sql(f'(SELECT * FROM method_metrics WHERE l_shipdate >= TIMESTAMP {chr(39)}{fx.DAY}{chr(39)})')})"
+def _side_sql(name, op):
+    when = f"l_shipdate {op} TIMESTAMP '{fx.DAY}'"
+    return f"{name} AS (FROM ({fx.type_metrics_sql(f'(SELECT * FROM method_metrics WHERE {when})', f' AND {when}')}) WHERE type_id IN (SELECT type_id FROM members WHERE {when}))"
+
+
+_BEFORE = f"{_side_sql('before_', '<')}, {_side_sql('after_', '>=')}"
 
 
 def _sides(s, d):
+    """Types that have members before and after a day, by what they had then."""
     t = fx.types(s, d)
-    return tuple(metrics.type_metrics(t, fx.methods(s, d, f"l_shipdate {op} TIMESTAMP'{fx.DAY}'")) for op in ("<", ">="))
+    found = [fx.methods(s, d, f"l_shipdate {op} TIMESTAMP'{fx.DAY}'") for op in ("<", ">=")]
+    return tuple(metrics.type_metrics(t, m).join(m.select("type_id").distinct(), "type_id", "left_semi") for m in found)
 
 
 def _unpivot(side, name):
@@ -309,11 +316,11 @@ def diff_metrics(s, d):
 
 _DIFF = f"""{_DELTAS}, c AS (SELECT type_id, bool_or(CASE WHEN metric IN ('health', 'avg_mi', 'min_mi') THEN delta < 0 ELSE delta > 0 END) AS worse, CAST(count(*) AS BIGINT) AS n FROM deltas WHERE abs(delta) > 1e-4 GROUP BY 1),
   diffed AS (SELECT coalesce(b.type_id, a.type_id) AS type_id, CASE WHEN b.type_id IS NULL THEN 'Added' WHEN a.type_id IS NULL THEN 'Removed' WHEN worse THEN 'Degraded' WHEN NOT worse THEN 'Improved' ELSE 'Unchanged' END AS status, coalesce(n, 0) AS n_changed
-  FROM (FROM before_ WHERE method_count > 3) b FULL JOIN (FROM after_ WHERE method_count > 3) a ON a.type_id = b.type_id LEFT JOIN c ON c.type_id = a.type_id AND c.type_id = b.type_id)"""
+  FROM before_ b FULL JOIN after_ a ON a.type_id = b.type_id LEFT JOIN c ON c.type_id = a.type_id AND c.type_id = b.type_id)"""
 
 
 def _diff(s, d):
-    b, a = (x.filter("method_count > 3") for x in _sides(s, d))
+    b, a = _sides(s, d)
     return snapshots.type_diff(b, a).withColumn("n_changed", F.col("n_changed").cast("long"))
 
 
@@ -332,17 +339,19 @@ _ONE = "SELECT type_id, method, params, cog, cyc FROM method_metrics WHERE l_shi
 
 @query(f"{_MM} SELECT type_id, method, params, a.cog - b.cog AS d_cog, a.cyc - b.cyc AS d_cyc FROM ({_ONE.format('<')}) b JOIN ({_ONE.format('>=')}) a USING (type_id, method, params)")
 def diff_methods(s, d):
-    return snapshots.method_diff(*(fx.methods(s, d, f"l_shipdate {op} TIMESTAMP'{fx.DAY}'") for op in ("<", ">=")))
+    return snapshots.method_diff(*(metrics.method_metrics(fx.methods(s, d, f"l_shipdate {op} TIMESTAMP'{fx.DAY}'")) for op in ("<", ">=")))
 
 
-def _smelly(op):
-    return f"SELECT DISTINCT type_id, 'DeepNesting' AS kind, method FROM method_metrics WHERE nesting >= 4 AND l_shipdate {op} TIMESTAMP '{fx.DAY}' UNION SELECT DISTINCT type_id, 'LowMaintainability', method FROM method_metrics WHERE mi < 20 AND l_shipdate {op} TIMESTAMP '{fx.DAY}'"
+def _smelly(side, op):
+    types = f"(SELECT m.*, (m.line_count % 11)::DOUBLE / 10 AS lcom, CAST(ca + ce AS BIGINT) AS cbo, CAST(m.line_count // 22 % 9 AS INTEGER) AS dit FROM {side} m JOIN coupling USING (type_id))"
+    methods = f"(SELECT * FROM method_metrics WHERE l_shipdate {op} TIMESTAMP '{fx.DAY}')"
+    return f"SELECT DISTINCT type_id, kind, coalesce(method, '') AS method FROM ({_FOUND.replace('FROM full_types', 'FROM ' + types).replace('FROM method_metrics', 'FROM ' + methods)})"
 
 
-@query(f"{_MM}, b AS ({_smelly('<')}), a AS ({_smelly('>=')}) SELECT *, 'Added' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'Resolved' FROM (FROM b EXCEPT FROM a)")
+@query(f"{_MM}, {_BEFORE}, b AS ({_smelly('before_', '<')}), a AS ({_smelly('after_', '>=')}) SELECT *, 'Added' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'Resolved' FROM (FROM b EXCEPT FROM a)")
 def diff_smells(s, d):
-    b, a = (rules.method_findings(metrics.method_metrics(fx.methods(s, d, f"l_shipdate {op} TIMESTAMP'{fx.DAY}'"))).filter("kind IN ('DeepNesting', 'LowMaintainability')") for op in ("<", ">="))
-    return snapshots.smell_diff(b, a)
+    found = [rules.findings(_with_coupling(s, d, t), metrics.method_metrics(fx.methods(s, d, f"l_shipdate {op} TIMESTAMP'{fx.DAY}'"))) for t, op in zip(_sides(s, d), ("<", ">="), strict=True)]
+    return snapshots.smell_diff(*found)
 
 
 _LOG = "log AS (SELECT CASE WHEN event_id % 2 = 0 THEN ' src/file_' || user_id || '.cs' ELSE 'SRC/File_' || user_id || '.cs ' END AS line, event_id AS seq FROM events), counts AS (SELECT lower(trim(line)) AS path_key, first(trim(line) ORDER BY seq) AS path, count(*) AS changes FROM log GROUP BY 1)"
@@ -362,15 +371,21 @@ def hotspots(s, d):
     return snapshots.hotspots(_types(s, d).join(fx.types(s, d).select("type_id", "path"), "type_id"), _log(s, d))
 
 
-_YEARS = f"""{_MM}, y AS (SELECT DISTINCT year(l_shipdate) AS "at" FROM lineitem),
-  per AS (SELECT "at", type_id, count(*) AS n, round_even(sum(cog)::DOUBLE / count(*), 1) AS avg_cog, count(*) FILTER (nesting >= 4) AS smells FROM (SELECT year(l_shipdate) AS "at", * FROM method_metrics) GROUP BY "at", type_id),
-  scored AS (SELECT *, round_even(greatest(1.0::DOUBLE, 10.0::DOUBLE - avg_cog / 5.0::DOUBLE), 1) AS health FROM per),
+_YEARLY = fx.type_metrics_sql("y_methods").replace("FROM types t", "FROM y_types t").replace("FROM members w", "FROM y_members w")
+_YEARS = f"""{_MM}, y_members AS (SELECT year(l_shipdate) || '|' || type_id AS type_id, * EXCLUDE (type_id) FROM members), y_methods AS (SELECT year(l_shipdate) || '|' || type_id AS type_id, * EXCLUDE (type_id) FROM method_metrics),
+  y_types AS (SELECT DISTINCT m.type_id, name, namespace, assembly, kind, line_count FROM y_members m JOIN types t ON t.type_id = split_part(m.type_id, '|', 2)),
+  y_smells AS (SELECT type_id, count(*) FILTER (lines >= 80 OR cog >= 25) + count(*) FILTER (params > 5) + count(*) FILTER (cyc >= 15 OR (cog >= 15 AND cog < 25)) + count(*) FILTER (nesting >= 4) + count(*) FILTER (mi < 20) AS smells FROM y_methods GROUP BY 1),
+  scored AS (SELECT CAST(split_part(type_id, '|', 1) AS BIGINT) AS "at", health, avg_cog, coalesce(smells, 0) AS smells FROM ({_YEARLY}) LEFT JOIN y_smells USING (type_id)),
   snaps AS (SELECT "at", count(*) AS types, round_even(sum(CAST(round_even(health * 10, 0) AS BIGINT))::DOUBLE / count(*) / 10, 2) AS avg_health, min(health) AS min_health, CAST(sum(smells) AS BIGINT) AS smells, count(*) FILTER (health < 4) AS unhealthy, round_even(sum(CAST(round_even(avg_cog * 10, 0) AS BIGINT))::DOUBLE / count(*) / 10, 2) AS avg_cog FROM scored GROUP BY "at")"""
 
 
 def _yearly(s, d):
-    per = fx.methods(s, d).groupBy(F.year("l_shipdate").cast("long").alias("at"), "type_id").agg(half_even(F.sum("cog").cast("double") / F.count("*"), 1).alias("avg_cog"), F.count_if(F.col("nesting") >= 4).alias("smells"))
-    return snapshots.snapshot_summary(per.withColumn("health", half_even(F.greatest(F.lit(1.0), 10.0 - F.col("avg_cog") / 5.0), 1)))
+    """A snapshot for each year: the types that have members of it, by what these are."""
+    m = fx.methods(s, d).withColumns({"plain": F.col("type_id"), "type_id": F.concat_ws("|", F.year("l_shipdate"), "type_id")})
+    t = fx.types(s, d).withColumnRenamed("type_id", "plain").join(m.select("plain", "type_id").distinct(), "plain")
+    smells = rules.method_findings(metrics.method_metrics(m)).groupBy("type_id").agg(F.count("*").alias("smells"))
+    rows = metrics.type_metrics(t, m).join(smells, "type_id", "left")
+    return snapshots.snapshot_summary(rows.select(F.substring_index("type_id", "|", 1).cast("long").alias("at"), "health", "avg_cog", F.coalesce("smells", F.lit(0)).alias("smells")))
 
 
 @query(f"{_YEARS} SELECT * FROM snaps ORDER BY \"at\"")
@@ -409,11 +424,11 @@ def bloom_bits(s, d):
     return fx.read(s, d, "part").select("p_partkey", F.array_join(sketch.bits(F.col("p_name")).cast("array<string>"), ",").alias("bits"))
 
 
-@query(f"WITH b AS (SELECT p_brand, p_type, {_BITS.replace(chr(120) + ',', 'p_name,')} AS bits FROM part), g AS (SELECT p_type, list_sort(list_distinct(flatten(list(bits)))) AS f FROM b WHERE p_brand = 'Brand#1' GROUP BY p_type) SELECT a.p_type AS a, z.p_type AS b, CAST(len(a.f) AS INTEGER) AS a_bits, round_even(len(list_intersect(a.f, z.f))::DOUBLE / greatest(len(a.f), len(z.f)), 6) AS similarity FROM g a JOIN g z ON a.p_type < z.p_type")
+@query(f"WITH b AS (SELECT p_brand, p_type, {_BITS.replace(chr(120) + ',', 'p_name,')} AS bits FROM part), g AS (SELECT p_brand, p_type, list_sort(list_distinct(flatten(list(bits)))) AS f FROM b GROUP BY p_brand, p_type) SELECT a.p_type, a.p_brand AS a, z.p_brand AS b, CAST(len(a.f) AS INTEGER) AS a_bits, round_even(len(list_intersect(a.f, z.f))::DOUBLE / greatest(len(a.f), len(z.f)), 6) AS similarity FROM g a JOIN g z ON a.p_type = z.p_type AND a.p_brand < z.p_brand")
 def bloom_similarity(s, d):
-    g = fx.read(s, d, "part").filter("p_brand = 'Brand#1'").groupBy("p_type").agg(sketch.union(sketch.bits(F.col("p_name"))).alias("f"))
-    b = g.select(F.col("p_type").alias("b"), F.col("f").alias("g"))
-    return g.join(b, F.col("p_type") < F.col("b")).select(F.col("p_type").alias("a"), "b", F.size("f").alias("a_bits"), half_even(sketch.similarity(F.col("f"), F.col("g")), 6).alias("similarity"))
+    g = fx.read(s, d, "part").groupBy("p_brand", "p_type").agg(sketch.union(sketch.bits(F.col("p_name"))).alias("f"))
+    b = g.select("p_type", F.col("p_brand").alias("b"), F.col("f").alias("g"))
+    return g.join(b, "p_type").filter(F.col("p_brand") < F.col("b")).select("p_type", F.col("p_brand").alias("a"), "b", F.size("f").alias("a_bits"), half_even(sketch.similarity(F.col("f"), F.col("g")), 6).alias("similarity"))
 
 
 @query("SELECT event_id, array_to_string(list_sort(list_distinct([CAST((user_id * m + 2654435769) % 128 AS INTEGER) FOR m IN [31, 37, 41]])), ',') AS bits FROM events")
@@ -434,10 +449,10 @@ def agreement_stats(s, d):
     return agreement.agreement(p, "tool")
 
 
-@query("WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') SELECT (SELECT count(*) FROM a JOIN b USING (k)) AS matched, (SELECT count(*) FROM a ANTI JOIN b USING (k)) AS only_ours, (SELECT count(*) FROM b ANTI JOIN a USING (k)) AS only_theirs")
+@query("WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus <> 'F') SELECT (SELECT count(*) FROM a JOIN b USING (k)) AS matched, (SELECT count(*) FROM a ANTI JOIN b USING (k)) AS only_ours, (SELECT count(*) FROM b ANTI JOIN a USING (k)) AS only_theirs")
 def cross_tool_match(s, d):
     o = fx.read(s, d, "orders")
-    a, b = (o.filter(F.col("o_orderstatus") == x).select("o_custkey").distinct() for x in "FO")
+    a, b = (o.filter(F.col("o_orderstatus") == "F" if x else F.col("o_orderstatus") != "F").select("o_custkey").distinct() for x in (True, False))
     both = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), "o_custkey", "full")
     return both.agg(F.count_if(F.expr("a = 1 AND b = 1")).alias("matched"), F.count_if(F.col("b").isNull()).alias("only_ours"), F.count_if(F.col("a").isNull()).alias("only_theirs"))
 
@@ -451,7 +466,7 @@ def top_divergences(s, d):
 @query()
 def nearest_line_match(s, d):
     li = fx.read(s, d, "lineitem").select(F.concat(F.lit("T"), F.col("l_partkey")).alias("key"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").cast("long").alias("v"), "l_returnflag")
-    return agreement.nearest_lines(li.filter("l_returnflag = 'A'").select("key", "line", F.col("v").alias("a")), li.filter("l_returnflag = 'R'").select("key", "line", F.col("v").alias("b")))
+    return agreement.nearest_lines(li.filter("l_returnflag = 'A'").select("key", "line", F.col("v").alias("a")), li.filter("l_returnflag <> 'A'").select("key", "line", F.col("v").alias("b")))
 
 
 # Identity
@@ -459,26 +474,37 @@ def nearest_line_match(s, d):
 _REF = "'global::' || p_type || '<' || p_brand || ',List<' || p_name || '>>[]'"
 
 
-@query(f"""SELECT p_partkey, split_part(p_type || '<' || p_brand || '>', '<', 1) AS plain, p_type || '::' || p_brand AS type_id, split_part(url_, '.', -1) AS label, regexp_replace(replace('C:\\src\\' || p_name || '\\', '\\', '/'), '/+$', '') AS path,
-  replace(replace('<' || p_name || '>&', '&', '&amp;'), '<', '&lt;').replace('>', '&gt;') AS safe, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS arity, md5(p_name) AS cache_key FROM (SELECT *, 'Brand.' || substr(p_brand, 7) || '.T' || p_partkey AS url_ FROM part)""")
+@query(f"""SELECT p_partkey, p_type AS plain, p_type || '::' || p_brand AS type_id, split_part(url_, '.', -1) AS label, regexp_replace(replace('C:\\src\\' || p_name || '\\', '\\', '/'), '/+$', '') AS path,
+  replace(replace('<' || p_name || '>&', '&', '&amp;'), '<', '&lt;').replace('>', '&gt;') AS safe, len(string_split(regexp_replace(CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'B<C,D>' ELSE 'B<C,D>,E' END, '<[^<>]*>', '', 'g'), ',')) - CAST(p_partkey % 3 = 0 AS INTEGER) AS arity, md5(p_name) AS cache_key FROM (SELECT *, 'Brand.' || substr(p_brand, 7) || '.T' || p_partkey AS url_ FROM part)""")
 def identity_strings(s, d):
     p = fx.read(s, d, "part")
-    generic = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'A<B<C,D>>' ELSE 'A<B<C,D>,E>' END")
+    generic = F.expr("CASE p_partkey % 3 WHEN 0 THEN ' A?' WHEN 1 THEN 'global::A<B<C,D>>' ELSE 'A<B<C,D>,E>[]' END")
     return p.select(
-        "p_partkey", names.without_generics(F.concat("p_type", F.lit("<"), "p_brand", F.lit(">"))).alias("plain"), names.type_id(F.col("p_type"), F.col("p_brand")).alias("type_id"),
+        "p_partkey", names.without_generics(F.concat(F.lit(" global::"), "p_type", F.lit("<"), "p_brand", F.lit(">? "))).alias("plain"), names.type_id(F.col("p_type"), F.col("p_brand")).alias("type_id"),
         names.label(F.expr("concat('Brand.', substr(p_brand, 7), '.T', p_partkey)")).alias("label"), names.normalized_path(F.concat(F.lit("C:\\src\\"), "p_name", F.lit("\\"))).alias("path"),
         names.html_escaped(F.concat(F.lit("<"), "p_name", F.lit(">&"))).alias("safe"), names.generic_arity(generic).alias("arity"), F.md5("p_name").alias("cache_key"),
     )
 
 
-@query(f"""{_MM}, refs AS (SELECT l_partkey AS ref_id, to_key, l_partkey % 3 AS form, a.namespace AS scope, b.namespace || '.' || b.name AS full_name, b.name, b.type_id, b.namespace FROM (SELECT DISTINCT l_partkey, to_key FROM edges) e JOIN types a ON a.p_partkey = l_partkey JOIN types b ON b.p_partkey = to_key)
-  SELECT ref_id || '>' || to_key AS ref_id, type_id FROM refs""")
+_REFS = """refs AS (SELECT DISTINCT l_partkey, to_key FROM edges), r AS (
+  SELECT l_partkey || '>' || to_key AS ref_id, a.namespace, CASE l_partkey % 4 WHEN 0 THEN b.namespace || '.' || b.name WHEN 1 THEN 'global::' || b.name || '[]' WHEN 2 THEN 'N' || to_key % 7 ELSE b.name || '<X>' END AS name
+  FROM refs JOIN types a ON a.p_partkey = l_partkey JOIN types b ON b.p_partkey = to_key),
+  known AS (SELECT type_id, namespace || '.' || name AS qualified, name AS simple FROM types UNION ALL SELECT type_id || '+N', namespace || '.N' || p_partkey % 7, 'N' || p_partkey % 7 FROM types),
+  uq AS (SELECT qualified AS key, min(type_id) AS type_id FROM known GROUP BY 1 HAVING count(*) = 1), us AS (SELECT simple AS key, min(type_id) AS type_id FROM known GROUP BY 1 HAVING count(*) = 1),
+  plain AS (SELECT *, regexp_replace(regexp_replace(name, '^global::', ''), '\\[\\]$', '') AS x FROM r)"""
+
+
+@query(f"{_MM}, {_REFS} SELECT ref_id, coalesce(q.type_id, n.type_id, u.type_id) AS type_id FROM plain LEFT JOIN uq q ON q.key = x LEFT JOIN uq n ON n.key = namespace || '.' || x LEFT JOIN us u ON u.key = split_part(x, '<', 1) WHERE coalesce(q.type_id, n.type_id, u.type_id) IS NOT NULL")
 def reference_resolution(s, d):
+    """Names that are qualified, simple, with arguments, and ambiguous (N0 to N6, of which only some are alone in their namespace)."""
     t = fx.types(s, d)
-    known = t.select("type_id", F.concat_ws(".", "namespace", "name").alias("qualified"), "namespace", F.col("name").alias("simple"))
+    nested = t.select(F.concat("type_id", F.lit("+N")).alias("type_id"), F.expr("concat(namespace, '.N', p_partkey % 7)").alias("qualified"), F.expr("concat('N', p_partkey % 7)").alias("simple"))
+    known = t.select("type_id", F.concat_ws(".", "namespace", "name").alias("qualified"), F.col("name").alias("simple")).unionByName(nested)
     e = fx.edges(s, d).select("l_partkey", "to_key").distinct()
-    a, b = t.select(F.col("p_partkey").alias("l_partkey"), F.col("namespace").alias("scope")), t.select(F.col("p_partkey").alias("to_key"), "name", "namespace")
-    refs = e.join(a, "l_partkey").join(b, "to_key").select(F.concat_ws(">", "l_partkey", "to_key").alias("ref_id"), F.when(F.col("l_partkey") % 3 == 0, F.concat_ws(".", "namespace", "name")).otherwise(F.col("name")).alias("name"), "scope")
+    a = t.select(F.col("p_partkey").alias("l_partkey"), "namespace", F.concat_ws(".", "namespace", "name").alias("qualified"))
+    b = t.select(F.col("p_partkey").alias("to_key"), F.concat_ws(".", "namespace", "name").alias("full"), F.col("name").alias("plain"))
+    name = F.expr("CASE l_partkey % 4 WHEN 0 THEN full WHEN 1 THEN concat('global::', plain, '[]') WHEN 2 THEN concat('N', to_key % 7) ELSE concat(plain, '<X>') END")
+    refs = e.join(a, "l_partkey").join(b, "to_key").select(F.concat_ws(">", "l_partkey", "to_key").alias("ref_id"), name.alias("name"), "namespace", "qualified")
     return resolve.resolve(refs, known)
 
 
@@ -488,7 +514,101 @@ def partial_types(s, d):
     return resolve.merge_partials(parts).select("type_id", "parts", "line_count", "base", F.array_join("members", ",").alias("members"))
 
 
-@query("SELECT p_type AS assembly, count(*) AS n FROM part WHERE lower(p_type) = lower('promo') OR ends_with(lower('X.' || p_type), '.standard') OR starts_with(lower(p_type), 'eco') GROUP BY 1")
+@query("SELECT name, count(*) AS n FROM (SELECT 'Game.' || p_type AS name FROM part) WHERE lower(name) LIKE '%.' || (SELECT lower(min(p_type)) FROM part) OR starts_with(lower(name), 'game.eco') GROUP BY name")
 def assembly_filter(s, d):
-    n = F.lower("assembly")
-    return fx.types(s, d).filter((n == "promo") | F.endswith(F.concat(F.lit("x."), n), F.lit(".standard")) | F.startswith(n, F.lit("eco"))).groupBy("assembly").agg(F.count("*").alias("n"))
+    assemblies = fx.read(s, d, "part").select(F.concat(F.lit("Game."), "p_type").alias("name"))
+    least = fx.read(s, d, "part").agg(F.min("p_type")).first()[0]
+    return projects.by_name(assemblies, least.upper()).unionByName(projects.by_prefix(assemblies, "GAME.Eco").filter(F.lower("name") != f"game.{least.lower()}")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+# Source code
+
+_SRC = "WITH " + source_fixture.SQL
+
+
+def _parsed(s, d):
+    return code.parse_files(source_fixture.files(s, d))
+
+
+@query(f"""{_SRC} SELECT type_id, method, cog, cyc, nesting, params, lines, start_line, n1, n2, total1, total2, round_even((total1 + total2) * log2((n1 + n2)::DOUBLE), 4) AS volume,
+  round_even(CASE WHEN n2 > 0 THEN n1 / 2.0::DOUBLE * total2 / n2 ELSE 0 END, 4) AS difficulty FROM src_methods""")
+def source_methods(s, d):
+    m = code.members_of(_parsed(s, d)).filter("member_kind = 'Method'")
+    return m.select("type_id", "method", "cog", "cyc", "nesting", "params", "lines", "start_line", "n1", "n2", "total1", "total2", half_even(F.col("volume"), 4).alias("volume"), half_even(F.col("difficulty"), 4).alias("difficulty"))
+
+
+_SRC_TYPES = f"""{_SRC}, m AS (SELECT p, count(*) AS n, sum(lines) AS lines, max(a) AS a, sum(s) AS used FROM src_methods GROUP BY p)
+  SELECT type_id, 'class' AS kind, namespace, CASE WHEN p > 0 THEN 'T' || p // 3 END AS base, false AS is_nested, CAST(4 + CASE WHEN inner_ THEN 2 ELSE 0 END + coalesce(lines, 0) AS INTEGER) AS line_count, 2 AS start_line,
+    CASE WHEN n > 1 THEN round_even(greatest(0.0::DOUBLE, (used::DOUBLE / 3 - n) / (1.0::DOUBLE - n)), 2) END AS lcom,
+    len(list_distinct(list_filter([CASE WHEN p > 0 THEN 'T' || p // 3 END, 'T' || following, CASE WHEN a > 0 THEN 'Func' END], lambda x: x IS NOT NULL AND x <> name))) AS cbo,
+    coalesce(n, 0) AS rfc, CAST(p > 0 AS INTEGER) AS dit FROM src_parts LEFT JOIN m USING (p)
+  UNION ALL SELECT type_id || '+Inner', 'class', namespace, NULL, true, 1, 5, NULL, 1, 0, 0 FROM src_parts WHERE inner_ UNION ALL SELECT type_id || '+Other', 'class', namespace, NULL, true, 1, 6, NULL, 0, 0, 0 FROM src_parts WHERE inner_"""
+
+
+@query(_SRC_TYPES)
+def source_types(s, d):
+    return _parsed(s, d).select("type_id", "kind", "namespace", "base", "is_nested", "line_count", "start_line", "lcom", "cbo", "rfc", "dit")
+
+
+@query(f"""{_SRC} SELECT a.type_id AS from_id, b.type_id AS to_id, 'Inheritance' AS kind FROM src_parts a JOIN src_parts b ON a.p > 0 AND b.p = a.p // 3
+  UNION ALL SELECT a.type_id, b.type_id, 'FieldType' FROM src_parts a JOIN src_parts b ON b.p = a.following AND b.p <> a.p UNION ALL SELECT type_id || '+Inner', type_id || '+Other', 'FieldType' FROM src_parts WHERE inner_""")
+def source_edges(s, d):
+    return dependencies.build(_parsed(s, d)).select("from_id", "to_id", "kind")
+
+
+@query(f"""{_SRC} SELECT type_id, method, 'CatchAllException' AS kind, 'Warning' AS severity FROM src_methods WHERE r = 1 UNION ALL SELECT type_id, method, 'ClosureCapture', 'Warning' FROM src_methods WHERE a = 1""")
+def source_findings(s, d):
+    return rules.occurrence_findings(code.occurrences_of(_parsed(s, d))).select("type_id", "method", "kind", "severity")
+
+
+@query("SELECT 'I' || p_partkey AS service, 'T' || p_partkey AS implementation, 'Zenject' AS container, CASE p_partkey % 3 WHEN 0 THEN 'Singleton' WHEN 1 THEN 'Transient' ELSE 'Scoped' END AS lifetime, 1 AS line FROM part UNION ALL SELECT 'T' || p_partkey, 'T' || p_partkey, 'VContainer', 'Scoped', 1 FROM part")
+def source_registrations(s, d):
+    text = F.expr("concat('class C { void Install() { c.Bind<I', p_partkey, '>().To<T', p_partkey, '>().', CASE p_partkey % 3 WHEN 0 THEN 'AsSingle' WHEN 1 THEN 'AsTransient' ELSE 'AsCached' END, '(); b.Register<T', p_partkey, '>(Lifetime.Scoped); } }')")
+    files = fx.read(s, d, "part").select(F.concat(F.lit("C"), "p_partkey").alias("path"), text.alias("text"))
+    return code.registrations(files).select("service", "implementation", "container", "lifetime", "line")
+
+
+@query(f"{_FULL}, r AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{sinks.rule_id(i)}{chr(39)})' for i, (k, _) in enumerate(sinks.RULES))}) t(kind, rule)) SELECT rule, CASE WHEN severity = 'Critical' THEN 'error' ELSE 'warning' END AS level, t.name || coalesce('.' || f.method, '') || ': ' || message AS text, CASE WHEN f.method IS NULL THEN 1 ELSE (SELECT min(start_line) FROM method_metrics m WHERE m.type_id = f.type_id AND m.method = f.method) END AS line, t.path AS uri FROM findings f JOIN r USING (kind) JOIN types t USING (type_id) WHERE t.type_id IN (SELECT type_id FROM type_metrics)")
+def sarif(s, d):
+    t = _types(s, d).join(fx.types(s, d).select("type_id", "path"), "type_id").withColumns({"start_line": F.lit(1), "lcom": (F.col("line_count") % 11).cast("double") / 10})
+    out = sinks.sarif_results(_findings(s, d), t, metrics.method_metrics(fx.methods(s, d)), "")
+    got = lambda p: F.get_json_object("json", p)
+    return out.select(
+        got("$.ruleId").alias("rule"), got("$.level").alias("level"), got("$.message.text").alias("text"), got("$.locations[0].physicalLocation.region.startLine").cast("int").alias("line"),
+        got("$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"),
+    )
+
+
+@query("""WITH e AS (SELECT 'N' || n_nationkey AS name, 'N' || (n_nationkey // 5 * 5 + (n_nationkey + 1) % 5) AS other FROM nation)
+  SELECT name, CASE WHEN CAST(substr(name, 2) AS INTEGER) % 2 = 0 THEN other ELSE other || ',X' END AS references, CASE WHEN CAST(substr(name, 2) AS INTEGER) % 3 = 0 THEN 'GUID:none' ELSE '' END AS unresolved FROM e""")
+def assembly_definitions(s, d):
+    return _definitions(s, d).select("name", F.array_join("references", ",").alias("references"), F.array_join("unresolved", ",").alias("unresolved"))
+
+
+def _definitions(s, d):
+    n = fx.read(s, d, "nation").withColumn("other", F.expr("n_nationkey div 5 * 5 + (n_nationkey + 1) % 5"))
+    path = F.concat(F.lit("/a/N"), "n_nationkey", F.lit("/N.asmdef"))
+    refs = F.expr("array_compact(array(concat('GUID:G', other), if(n_nationkey % 2 = 1, 'X', null), if(n_nationkey % 3 = 0, 'GUID:none', null)))")
+    files = n.select(path.alias("path"), F.to_json(F.struct(F.concat(F.lit("N"), "n_nationkey").alias("name"), refs.alias("references"))).alias("text"))
+    metas = n.select(F.concat(path, F.lit(".meta")).alias("path"), F.concat(F.lit("version: 2\nGuid: g"), "n_nationkey", F.lit("\n")).alias("text"))
+    return projects.assembly_definitions(files, metas)
+
+
+@query("SELECT 'Assembly' AS level, 'N' || CASE WHEN n_nationkey // 5 * 5 = 5 THEN '5' ELSE CAST(n_nationkey // 5 * 5 AS VARCHAR) END AS component, CAST(count(*) OVER (PARTITION BY n_nationkey // 5) AS BIGINT) AS size, 'N' || n_nationkey AS member FROM nation")
+def assembly_cycles(s, d):
+    return dependencies.all_cycles(fx.edges(s, d).limit(0).select(F.col("from_id").alias("from_type"), F.col("to_id").alias("to_type")), _definitions(s, d))
+
+
+@query(f"{_TM} SELECT type_id, health, max_cog FROM type_metrics ORDER BY health NULLS LAST, max_cog DESC, type_id LIMIT 10")
+def panel_types(s, d):
+    return rollup.panel(_types(s, d), "health", 10).select("type_id", "health", "max_cog")
+
+
+@query(f"{_MM} SELECT type_id, method, cog, cyc, lines, start_line FROM method_metrics ORDER BY cog DESC, cyc DESC, lines DESC, type_id, method, start_line LIMIT 20")
+def panel_methods(s, d):
+    return rollup.method_panel(metrics.method_metrics(fx.methods(s, d)), "cog", 20).select("type_id", "method", "cog", "cyc", "lines", "start_line")
+
+
+@query(f"{_MM} SELECT DISTINCT from_id, to_id, kind FROM edges WHERE contains(lower(from_id), 't77') OR contains(lower(to_id), 't77') OR contains(lower(kind), 't77')")
+def search_edges(s, d):
+    return edges.matching(fx.edges(s, d).select("from_id", "to_id", "kind"), "T77").distinct()

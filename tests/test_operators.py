@@ -8,7 +8,7 @@ from codestrata import plans
 from codestrata.functions import identity as names
 from codestrata.functions.rounding import half_even
 from codestrata.functions.scores import HEALTH_PARTS, interpolate, maintainability
-from codestrata.operators import agreement, edges, graph, resolve, rollup, rules, sketch, snapshots
+from codestrata.operators import agreement, edges, graph, metrics, resolve, rollup, rules, sketch, snapshots
 
 
 def one(spark, column):
@@ -110,14 +110,22 @@ def test_cycles_over_all_edges_against_brute_force(spark, tmp_path):
         if same:
             want[a] = min(a, *same)
     assert want and any(a % 10 != b % 10 for a, b in want.items())
-    assert {r.id: r.component for r in plans.QUERIES["cycles_all"](spark, str(tmp_path)).collect()} == want
+    assert {r.id: r.component for r in plans.QUERIES["cycles"](spark, str(tmp_path)).collect()} == want
 
 
 def test_resolution_levels(spark):
-    known = spark.createDataFrame([("1", "A.B.X", "A.B", "X"), ("2", "A.X", "A", "X"), ("3", "C.Y", "C", "Y"), ("4", "D.Z", "D", "Z"), ("5", "E.Z", "E", "Z")], "type_id string, qualified string, namespace string, simple string")
-    refs = spark.createDataFrame([("q", "A.X", "Q"), ("inner", "X", "A.B"), ("outer", "X", "A.K"), ("simple", "Y", "Q"), ("ambiguous", "Z", "Q"), ("near", "Z", "E")], "ref_id string, name string, scope string")
+    known = spark.createDataFrame(
+        [("1", "A.B.X", "X"), ("2", "A.X", "X"), ("3", "C.Y", "Y"), ("4", "D.Z", "Z"), ("5", "E.Z", "Z"), ("6", "A.T.X", "X"), ("7", "A.T.U.X", "X"), ("8", "G.L", "L"), ("9", "W.W", "W"), ("10", "W.W", "W")],
+        "type_id string, qualified string, simple string",
+    )
+    refs = spark.createDataFrame(
+        [("q", "A.X", "Q", "Q.R"), ("inner", "X", "A.B", "A.B.R"), ("outer", "X", "A.K", "A.K.R"), ("simple", "Y", "Q", "Q.R"), ("ambiguous", "Z", "Q", "Q.R"), ("near", "Z", "E", "E.R"), ("within", "X", "A", "A.T.R"),
+         ("deeper", "X", "A", "A.T.U.R"), ("normal", " global::L<int>[]? ", "Q", "Q.R"), ("none", "Y", "", "R"), ("blank", " ", "Q", "Q.R"), ("null", None, "Q", "Q.R"), ("twice", "W.W", "Q", "Q.R")],
+        "ref_id string, name string, namespace string, qualified string",
+    )
     got = {r.ref_id: r.type_id for r in resolve.resolve(refs, known).collect()}
-    assert got == {"q": "2", "inner": "1", "outer": "2", "simple": "3", "near": "5"}
+    # "outer" finds nothing: namespaces around its own are not looked at, and the simple name is that of several types.
+    assert got == {"q": "2", "inner": "1", "simple": "3", "near": "5", "within": "6", "deeper": "7", "normal": "8", "none": "3"}
 
 
 def test_reclassify(spark):
@@ -126,14 +134,18 @@ def test_reclassify(spark):
     assert {r.type_id: (r.base, r.interfaces) for r in resolve.reclassify_bases(t, i).collect()} == {"1": (None, ["IX", "IY"]), "2": ("Base", []), "3": ("IX", [])}
 
 
-@pytest.mark.parametrize(("name", "arity"), [("A", 0), ("A<B>", 1), ("A<B,C>", 2), ("A<B<C,D>,E>", 2)])
+@pytest.mark.parametrize(("name", "arity"), [("A", 0), ("A<B>", 1), ("A<B,C>", 2), ("A<B<C,D>,E>", 2), (" global::A<B,C>[]? ", 2), ("A<>", 0), (None, 0)])
 def test_arity(spark, name, arity):
     assert one(spark, names.generic_arity(F.lit(name))) == arity
 
 
 def test_names(spark):
     assert one(spark, names.normalized_reference(F.lit(" global::A.B[]? "))) == "A.B"
+    assert one(spark, names.without_generics(F.lit(" global::A.C<B>? "))) == "A.C" and one(spark, names.normalized_reference(F.lit(None))) == ""
     assert one(spark, names.containing_prefixes(F.lit("a.b.c"))) == ["a.b", "a"]
+    assert one(spark, names.containing_prefixes(F.lit("n.m.T.U.V"), F.lit("n.m"))) == ["n.m.T.U", "n.m.T"] and one(spark, names.containing_prefixes(F.lit("n.m.T"), F.lit("n.m"))) == []
+    assert one(spark, names.fallback_type_id(F.lit("a"), F.lit("n"), F.lit("T<A,B>"))) == "a::n.T`2" and one(spark, names.fallback_qualified(F.lit(""), F.lit("T<A>"))) == "T"
+    assert one(spark, names.type_names(F.lit("(int a, Foo b)"))) == ["(int a, Foo b)"] and one(spark, names.type_names(F.lit("Map<A,B>[]"))) == ["Map", "A"] and one(spark, names.type_names(F.lit("A<B?>?"))) == ["A", "B"]
     assert one(spark, names.type_names(F.lit("Map<Key, List<Item>>"))) == ["Map", "Key", "List", "Item"]
     assert one(spark, names.relative_path(F.lit("/p/q/"), F.lit("/p/q/r/s.cs"))) == "r/s.cs"
     assert one(spark, names.html_escaped(F.lit("<a href='x'>&\""))) == "&lt;a href=&#39;x&#39;&gt;&amp;&quot;"
@@ -150,6 +162,8 @@ def test_diff_status(spark):
     base = dict.fromkeys(snapshots.DIFFED, 5.0)
     b = spark.createDataFrame([{"type_id": t} | base for t in ("same", "worse", "better", "mixed", "gone")], cols)
     a = spark.createDataFrame([{"type_id": t} | base | c for t, c in (("same", {"health": 5.00005}), ("worse", {"health": 4.0}), ("better", {"line_count": 4.0}), ("mixed", {"health": 6.0, "max_cog": 6.0}), ("new", {}))], cols)
+    b = b.unionByName(b.filter("type_id = 'same'").withColumn("health", F.lit(9.0)))  # of two rows of an id the first counts
+    assert snapshots.type_diff(b, a.unionByName(a)).count() == 6
     got = {r.type_id: r.status for r in snapshots.type_diff(b, a).collect()}
     assert got == {"same": "Unchanged", "worse": "Degraded", "better": "Improved", "mixed": "Degraded", "gone": "Removed", "new": "Added"}
 
@@ -186,3 +200,65 @@ def test_nearest_lines(spark):
     ours = spark.createDataFrame([("k", 10, 1), ("k", 12, 2), ("k", 90, 3), ("z", 1, 4)], "key string, line long, a long")
     theirs = spark.createDataFrame([("k", 11, 7), ("k", 14, 8)], "key string, line long, b long")
     assert sorted((r.key, r.line, r.b) for r in agreement.nearest_lines(ours, theirs).collect()) == [("k", 10, 7), ("k", 12, 8), ("k", 90, 0), ("z", 1, 0)]
+
+
+def test_metrics_of_members_with_nulls(spark):
+    t = spark.createDataFrame([("T", "T", "n", "a", "class", 10), ("E", "E", "n", "a", "enum", 3), ("U", "U", "n", "a", "struct", 1)], "type_id string, name string, namespace string, assembly string, kind string, line_count int")
+    rows = [("T", "m", 1, 4, 6, 0, 2, 3, None), ("T", "n", 2, 2, None, None, 6, 3, 0.0), ("T", "f", 3, None, 4, 9, 9, 0, None), ("E", "x", 1, 1, 1, 1, 1, 1, 1.0)]
+    m = spark.createDataFrame(rows, "type_id string, method string, start_line int, cog int, cyc int, nesting int, params int, lines int, volume double")
+    got = {r.type_id: r for r in metrics.type_metrics(t, m).collect()}
+    assert set(got) == {"T", "U"} and (got["U"].method_count, got["U"].avg_mi, got["U"].wmc, got["U"].health) == (0, None, 0, 10.0)
+    r = got["T"]
+    assert (r.method_count, r.avg_cog, r.avg_cyc, r.max_cyc, r.max_nesting, r.many_params, r.wmc, r.avg_mi, r.min_mi) == (2, 3.0, 3.5, 6, 0, 1, 10, 100.0, 100.0)
+    assert {(r.method, r.cyc, r.nesting, r.mi) for r in metrics.method_metrics(m.filter("type_id = 'T'")).collect()} == {("m", 6, 0, None), ("n", 1, 0, 100.0)}
+
+
+def test_base_depth_of_long_chains_external_bases_and_circles(spark):
+    rows = [(f"c{i:04d}", f"c{i - 1:04d}" if i else None) for i in range(1500)] + [("x", "outside"), ("y", "x"), ("p", "q"), ("q", "p"), ("r", "p"), ("y", "x")]
+    got = {r.id: r.depth for r in graph.base_depth(spark.createDataFrame(rows, "id string, base string")).collect()}
+    assert got == {f"c{i:04d}": i for i in range(1500)} | {"x": 1, "y": 2, "p": None, "q": None, "r": None}
+    assert graph.base_depth(spark.createDataFrame([], "id string, base string")).count() == 0
+
+
+def test_rank_against_a_loop(spark):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(30), rng.randrange(25)) for _ in range(70)}
+    links = [(a, b) for a, b in pairs if a != b]
+    r = dict.fromkeys(range(30), 1 / 30)
+    for _ in range(100):
+        lost = sum(r[i] for i in r if not any(a == i for a, _ in links))
+        now = {i: 0.15 / 30 + 0.85 * (sum(r[a] / sum(x == a for x, _ in links) for a, b in links if b == i) + lost / 30) for i in r}
+        moved, r = sum(abs(now[i] - r[i]) for i in r), now
+        if moved < 1e-6:
+            break
+    got = graph.rank(spark.createDataFrame(list(pairs), "src long, dst long"), spark.range(30))
+    assert all(abs(x["rank"] - r[x.id]) < 1e-9 for x in got.collect())
+
+
+def test_agreement_of_nontrivial_pairs(spark):
+    p = spark.createDataFrame([("x", 0, 0), ("x", 1, 2), ("x", 5, 4), ("x", None, 4), ("y", 0, 0)], "t string, a int, b int")
+    assert {r.t: r.n for r in agreement.agreement(p, "t", nontrivial=0).collect()} == {"x": 2}
+
+
+def test_nearest_lines_against_a_loop(spark):
+    rng = random.Random(3)
+    ours = [("k", rng.randrange(60), i) for i in range(40)]
+    theirs = [("k", rng.randrange(60), i) for i in range(30)]
+    free, want = sorted((x, b) for _, x, b in theirs), []
+    for line, a in sorted((x, a) for _, x, a in ours):
+        best = min(free, key=lambda f: (abs(f[0] - line), f), default=None)
+        b = 0
+        if best and abs(best[0] - line) <= 5:
+            free.remove(best)
+            b = best[1]
+        want.append((line, a, b))
+    got = agreement.nearest_lines(spark.createDataFrame(ours, "key string, line long, a long"), spark.createDataFrame(theirs, "key string, line long, b long"))
+    assert sorted((r.line, r.a, r.b) for r in got.collect()) == sorted(want)
+
+
+def test_edges_around_visible_namespaces(spark):
+    t = spark.createDataFrame([("1", "a.b.c"), ("2", "a.b"), ("3", "a.d"), ("4", "z")], "type_id string, namespace string")
+    e = edge_rows(spark, ("1", "3"), ("2", "3"), ("1", "2"), ("4", "1"))
+    seen = spark.createDataFrame([("a.b",), ("a.d",)], "prefix string")
+    assert [(r.from_group, r.to_group, r.n) for r in edges.visible_rollup(e, t, seen).collect()] == [("a.b", "a.d", 2)]
+    assert sorted((r.from_id, r.to_id) for r in edges.incident(e, spark.createDataFrame([("2",), ("2",)], "type_id string")).collect()) == [("1", "2"), ("2", "3")]

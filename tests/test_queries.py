@@ -8,7 +8,6 @@ import pytest
 from codestrata import plans
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"cycles"}
 
 
 def rows(df):
@@ -17,7 +16,7 @@ def rows(df):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
-@pytest.mark.parametrize("name", [n for n in plans.ORACLE_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(plans.ORACLE_SQL))
 def test_same_rows(spark, name):
     con = duckdb.connect()
     for p in Path(SF).glob("*.parquet"):
