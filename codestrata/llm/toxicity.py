@@ -49,6 +49,11 @@ def subwords(word: bytes) -> list[int]:
     return [zlib.crc32(g.encode()) % ROWS for g in sorted(grams)]
 
 
+def _spread(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The indices begin[i], begin[i] + 1, ... of each i, ``counts[i]`` of them."""
+    return np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class Model:
     """Embedding matrix and softmax; after training, logit shares of words."""
 
@@ -74,23 +79,20 @@ class Model:
         counts = np.array([len(b) for b in bags])
         flat = np.fromiter((i for b in bags for i in b), np.int64, counts.sum())
         begin = np.cumsum(counts) - counts
-        windows, of = [], []
-        for i, d in enumerate(documents):
-            ids = [vocabulary[w] for w in d]
-            for at in range(0, len(ids), WINDOW):
-                windows.append(ids[at : at + WINDOW])
-                of.append(i)
-        of = np.array(of)
+        tokens = np.fromiter((vocabulary[w] for d in documents for w in d), np.int64, sum(map(len, documents)))
+        length = np.array([min(WINDOW, len(d) - at) for d in documents for at in range(0, len(d), WINDOW)])
+        of = np.repeat(np.arange(len(documents)), [-(-len(d) // WINDOW) for d in documents])
+        start = np.cumsum(length) - length
         label = toxic[of].astype(np.int64)
         rng = np.random.default_rng(_SEED)
         square_rows = np.full((ROWS, WIDTH), 1e-6, np.float32)
         square_out, square_bias = np.full((WIDTH, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
         rate = 0.3
         for epoch in range(EPOCHS):
-            use = np.arange(len(windows))
+            use = np.arange(len(length))
             if epoch:
                 logit = self.word_logits(bags)
-                score = np.array([logit[w].mean() for w in windows])
+                score = np.add.reduceat(logit[tokens], start) / length
                 most = np.full(len(documents), -np.inf)
                 np.maximum.at(most, of, score)
                 use = use[(label == 0) | (score >= most[of] - 1e-6)]
@@ -98,12 +100,12 @@ class Model:
                 use = np.concatenate([use[label[use] == 0], np.repeat(use[label[use] == 1], 8), np.repeat(hard, 4)])
             rng.shuffle(use)
             for batch in np.array_split(use, max(1, len(use) // BATCH)):
-                sizes = np.array([len(windows[i]) for i in batch])
-                words = np.fromiter((w for i in batch for w in windows[i]), np.int64, sizes.sum())
+                sizes = length[batch]
+                words = tokens[_spread(start[batch], sizes)]
                 row = np.repeat(np.arange(len(batch)), sizes)
                 unique, inverse = np.unique(words, return_inverse=True)
                 n = counts[unique]
-                grams = np.concatenate([flat[begin[u] : begin[u] + counts[u]] for u in unique])
+                grams = flat[_spread(begin[unique], n)]
                 of_gram = np.repeat(np.arange(len(unique)), n)
                 word_vec = np.add.reduceat(self.rows[grams], np.cumsum(n) - n, axis=0) / n[:, None]
                 x = np.add.reduceat(word_vec[inverse], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
