@@ -1,14 +1,22 @@
-"""Quality rules whose cutoffs come from the data: fences around quantile sketches of each language and source.
+"""Quality rules whose cutoffs come from the data: fences at gaps in quantile sketches of each language and source.
 
-A sketch is a histogram on a fixed integer grid. Merging two of them adds counts, so partial aggregation, language
-sketches made of source sketches and corpus sketches made of those all agree exactly with one pass over every row, and
-a lost executor's part can be made again bit for bit (randomized sketches can't promise that).
+A sketch is a histogram over cells that grow by ``GROWTH``, so that a quantile is known to that factor from a bounded number
+of counts, whatever the values. Merging two of them adds counts: partial aggregation, language sketches made of source sketches and
+corpus sketches made of those all agree exactly with one pass over every row, and a lost executor's part can be made again bit for
+bit. The shares of a group's cells are drawn towards those of its language, and these towards the corpus, by ``PRIOR`` documents'
+worth; how much that matters falls with the size of the group, without any size at which it switches.
+
+Documents of a kind lie together in a sketch, around its median. From there outwards, cells that hold a share of ``DENSE`` at
+least are of the same kind as long as no more than ``GAP`` cells lie between two of them. Where more do, other documents begin:
+the fence is the first such cell beyond the gap, and what lies there or further out is rejected. What lies in the gap stays, as
+do all documents of a group without one. So no fence is a fixed number, and none follows from the spread of a feature that most
+documents do not show at all.
 
 Defined results
 * null, empty or blank text: no words, so the document is rejected and does not enter any sketch;
 * null ``lang`` or ``source``: a group of its own, like any other value;
-* a group of fewer than ``min_rows`` documents takes the sketch of its language, that of fewer the whole corpus's;
-* a value equal to a fence stays; repeated rows are judged alike, each by itself; an empty table gives an empty one.
+* a value in the cell of a fence is rejected; repeated rows are judged alike, each by itself; columns of any name are kept; an
+  empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,24 +25,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import fresh, table
+from .common import checkpoint, fresh, table
 
-#: feature -> (how many interquartile ranges a fence lies off its quartile, the least range that is assumed, whether
-#: low values are rejected, whether high ones are).
-FEATURES: dict[str, tuple[int, int, bool, bool]] = {
-    "word_length": (3, 15, True, True),
-    "symbols": (3, 20, False, True),
-    "capitals": (3, 100, False, True),
-    "distinct_words": (1, 40, True, False),
-    "repeated_lines": (3, 150, False, True),
+#: feature -> whether low values are rejected, whether high ones are.
+FEATURES: dict[str, tuple[bool, bool]] = {
+    "word_length": (True, True), "symbols": (False, True), "capitals": (False, True), "distinct_words": (True, False), "repeated_lines": (False, True),
 }
-MIN_ROWS = 100
+GROWTH, CELLS = 1.15, 160
+PRIOR, DENSE, GAP = 100, 0.006, 4
+#: Shares are counted in this many parts, so that adding them up is exact.
+_WHOLE = 1_000_000_000_000
+#: Limits of more groups than these are joined by a shuffle instead of being sent to every task.
+SENT = 100_000
 _WORD = "[^ \\t\\n\\r]+"
 _SYMBOL = "[#$%&*|!<>{}=~^@+]"
 
 
 def features(text: Column) -> dict[str, Column]:
-    """Integer features of a text: word_length in tenths of a character, the others in thousandths.
+    """Integer features of a text: word_length in tenths of a character, symbols, capitals and distinct words in thousandths.
+
+    repeated_lines is how often a line occurs on average, in hundredths: 100 without repeated ones.
 
     distinct_words is taken over windows' worth of words: the share of distinct words among the words, scaled by the
     square root of their number over 100 for longer texts, since long texts repeat words whatever their quality.
@@ -49,7 +59,7 @@ def features(text: Column) -> dict[str, Column]:
         "symbols": F.floor(1000 * F.regexp_count(text, F.lit(_SYMBOL)) / chars).cast("int"),
         "capitals": F.floor(1000 * F.regexp_count(text, F.lit("[A-Z]")) / chars).cast("int"),
         "distinct_words": F.floor(1000 * distinct / n * F.sqrt(F.greatest(n, F.lit(100)) / 100)).cast("int"),
-        "repeated_lines": F.floor(1000 * (F.size(lines) - F.size(F.array_distinct(lines))) / F.size(lines)).cast("int"),
+        "repeated_lines": F.floor(100 * F.size(lines) / F.size(F.array_distinct(lines))).cast("int"),
     }
 
 
@@ -61,100 +71,102 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.filter(has_words).select(*keep, F.struct(*[c.alias(k) for k, c in f.items()]).alias(m))
 
 
-def thresholds(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row for each language and source: low_<feature> and high_<feature>, from the sketch of its level."""
-    measures = measured(docs, ["lang", "source"])
-    m = measures.columns[-1]
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(m)[k].alias("cell")) for k in FEATURES]))
-    sketch = (
-        measures.select("lang", "source", cells.alias("c"))
-        .groupBy("lang", "source", "c.feature", "c.cell")
-        .agg(F.count("*").alias("n"))
-    )
-    levels = F.explode(
-        F.array(
-            F.struct(F.lit(0).alias("level"), F.col("lang").alias("l"), F.col("source").alias("s")),
-            F.struct(F.lit(1).alias("level"), F.col("lang").alias("l"), F.lit(None).cast("string").alias("s")),
-            F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("l"), F.lit(None).cast("string").alias("s")),
-        )
-    )
-    merged = (
-        sketch.select(levels.alias("k"), "feature", "cell", "n")
-        .groupBy("k", "feature", "cell")
-        .agg(F.sum("n").alias("n"))
-    )
-    whole = Window.partitionBy("k", "feature")
-    up_to = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = merged.select(
-        "k", "feature", "cell", F.sum("n").over(up_to).alias("below"), F.sum("n").over(whole).alias("n")
-    )
-    quartiles = ranked.groupBy("k", "feature").agg(
-        F.max("n").alias("n"),
-        F.min(F.when(F.col("below") * 4 >= F.col("n"), F.col("cell"))).alias("q1"),
-        F.min(F.when(F.col("below") * 4 >= F.col("n") * 3, F.col("cell"))).alias("q3"),
-    )
-    def width(k: str) -> Column:
-        return F.greatest(F.col("q3") - F.col("q1"), F.lit(FEATURES[k][1])) * FEATURES[k][0]
+def cell(value: Column) -> Column:
+    """The sketch's cell of a value."""
+    return F.least(F.floor(F.log(value + F.lit(1.0)) / F.lit(_log(GROWTH))), F.lit(CELLS)).cast("int")
 
-    fences = quartiles.groupBy("k").agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("feature") == k, F.col("q1") - width(k))).alias(f"low_{k}") for k in FEATURES],
-        *[F.max(F.when(F.col("feature") == k, F.col("q3") + width(k))).alias(f"high_{k}") for k in FEATURES],
-    )
-    bounds = [f"{side}_{k}" for side in ("low", "high") for k in FEATURES]
-    at = [fences.filter(F.col("k.level") == i).select(F.col("k.l").alias(f"l{i}"), F.col("k.s").alias(f"s{i}"), F.col("n").alias(f"n{i}"), F.struct(*bounds).alias(f"b{i}")) for i in range(3)]
-    chosen = (
-        at[0]
-        .join(at[1], F.col("l0").eqNullSafe(F.col("l1")), "left")
-        .crossJoin(at[2])
-        .select(
-            F.col("l0").alias("lang"),
-            F.col("s0").alias("source"),
-            F.when(F.col("n0") >= min_rows, F.col("b0")).when(F.col("n1") >= min_rows, F.col("b1")).otherwise(F.col("b2")).alias("b"),
-        )
-    )
-    return chosen.select("lang", "source", "b.*")
 
+def _log(x: float) -> float:
+    import math
 
-def passing(docs: DataFrame, keep: list[str], min_rows: int = MIN_ROWS) -> DataFrame:
-    """The documents inside every fence of their language and source: columns ``keep``, then the struct of measures."""
-    limits = thresholds(docs, min_rows)
-    rows = measured(docs, list(dict.fromkeys([*keep, "lang", "source"])))
-    m = rows.columns[-1]
-    (t,) = fresh(rows, "_limits")
-    limits = limits.select(
-        F.col("lang").alias(f"{t}_lang"), F.col("source").alias(f"{t}_source"),
-        F.struct(*[c for c in limits.columns if c not in ("lang", "source")]).alias(t),
-    )
-    joined = rows.join(
-        limits, F.col("lang").eqNullSafe(F.col(f"{t}_lang")) & F.col("source").eqNullSafe(F.col(f"{t}_source")), "inner"
+    return math.log(x)
+
+
+def thresholds(measures: DataFrame, m: str) -> DataFrame:
+    """(lang, source, low_<feature>, high_<feature>) of each group of measured documents; null where nothing is rejected.
+
+    low is the last rejected cell, high the first.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), cell(F.col(m)[k]).alias("cell")) for k in FEATURES]))
+    sketch = checkpoint(measures.select("lang", "source", cells.alias("c")).groupBy("lang", "source", "c.feature", "c.cell").agg(F.count("*").alias("n")))
+    group = Window.partitionBy("lang", "source", "feature")
+    of = sketch.groupBy("lang", "source", "feature").agg(F.sum("n").alias("n0"))
+    grid = of.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS))))
+
+    def counts(keys: list[str], c: str) -> DataFrame:
+        return sketch.groupBy(*[F.col(k).alias(f"{k}_") for k in keys], F.col("feature").alias("feature_"), F.col("cell").alias("cell_")).agg(F.sum("n").alias(c))
+
+    def totals(keys: list[str], n: str) -> DataFrame:
+        return of.groupBy(*[F.col(k).alias(f"{k}_") for k in keys], F.col("feature").alias("feature_")).agg(F.sum("n0").alias(n))
+
+    def joined(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+        on = [F.col(x[:-1]).eqNullSafe(F.col(x)) for x in right.columns if x.endswith("_")]
+        return left.join(right, on, how).drop(*[x for x in right.columns if x.endswith("_")])
+
+    both = ["lang", "source"]
+    for keys, c in ((both, "c0"), (both[:1], "c1"), ([], "c2")):
+        grid = joined(grid, counts(keys, c))
+    for keys, n in ((both[:1], "n1"), ([], "n2")):
+        grid = joined(grid, totals(keys, n))
+    got = lambda c: F.coalesce(c, F.lit(0))
+    shared = (got("c1") + PRIOR * (got("c2") / F.col("n2"))) / (F.col("n1") + PRIOR)
+    share = F.floor((got("c0") + PRIOR * shared) / (F.col("n0") + PRIOR) * _WHOLE).cast("long").alias("share")
+    shares = grid.select("lang", "source", "feature", "cell", share)
+    up_to = group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = shares.withColumns({"below": F.sum("share").over(up_to), "all": F.sum("share").over(group)})
+    middle = F.min(F.when(F.col("below") * 2 >= F.col("all"), F.col("cell"))).over(group)
+    dense = ranked.withColumn("middle", middle).filter(F.col("share") >= int(DENSE * _WHOLE))
+    order = group.orderBy("cell")
+    near = dense.withColumns({"before": F.greatest(F.lag("cell").over(order), "middle"), "after": F.least(F.lead("cell").over(order), "middle")})
+    high = F.min(F.when((F.col("cell") > F.col("middle")) & (F.col("cell") - F.col("before") > GAP), F.col("cell")))
+    low = F.max(F.when((F.col("cell") < F.col("middle")) & (F.col("after") - F.col("cell") > GAP), F.col("cell")))
+    fences = near.groupBy("lang", "source", "feature").agg(low.alias("low"), high.alias("high"))
+    whole = of.select("lang", "source").distinct()
+    wide = fences.groupBy(F.col("lang").alias("lang_"), F.col("source").alias("source_")).agg(
+        *[F.max(F.when(F.col("feature") == k, F.col(side))).alias(f"{side}_{k}") for k in FEATURES for side in ("low", "high")]
     )
+    return checkpoint(joined(whole, wide))
+
+
+def passing(measures: DataFrame, m: str, limits: DataFrame) -> DataFrame:
+    """The measured documents inside every fence of their language and source."""
+    s, t = fresh(measures, "_lang_of", "_source_of")
+    names = [c for c in limits.columns if c not in ("lang", "source")]
+    free = dict(zip(names, fresh(measures, *[f"_{n}" for n in names]), strict=True))
+    limits = limits.select(F.col("lang").alias(s), F.col("source").alias(t), *[F.col(n).alias(f) for n, f in free.items()])
+    if limits.count() <= SENT:
+        limits = F.broadcast(limits)
+    joined = measures.join(limits, F.col("lang").eqNullSafe(F.col(s)) & F.col("source").eqNullSafe(F.col(t)))
     good = F.lit(True)
-    for k, (_, _, low, high) in FEATURES.items():
+    for k, (low, high) in FEATURES.items():
+        c = cell(F.col(m)[k])
         if low:
-            good = good & (F.col(m)[k] >= F.col(t)[f"low_{k}"])
+            good = good & ~F.coalesce(c <= F.col(free[f"low_{k}"]), F.lit(False))
         if high:
-            good = good & (F.col(m)[k] <= F.col(t)[f"high_{k}"])
-    return joined.filter(good).select(*keep, m)
+            good = good & ~F.coalesce(c >= F.col(free[f"high_{k}"]), F.lit(False))
+    return joined.filter(good).select(*[F.col(f"`{c}`") for c in measures.columns])
 
 
-def quality_filter(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return passing(docs, docs.columns, min_rows).select(*docs.columns)
+def quality_filter(docs: DataFrame) -> DataFrame:
+    """The documents that pass, with the columns they came with. They are read twice, and neither moved nor written."""
+    keyed = measured(docs, ["lang", "source"])
+    limits = thresholds(keyed, keyed.columns[-1])
+    rows = measured(docs, docs.columns)
+    return passing(rows, rows.columns[-1], limits).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = passing(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"])
-    m = kept.columns[-1]
-    return kept.select("doc_id", "lang", "source", f"{m}.*")
+    rows = checkpoint(measured(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]))
+    m = rows.columns[-1]
+    return passing(rows, m, thresholds(rows, m)).select("doc_id", "lang", "source", f"{m}.*")
 
 
 def _sql() -> str:
     words = r"regexp_extract_all(text, '[^ \t\n\r]+')"
     names = list(FEATURES)
-    bounds = [f"{side}_{k}" for side in ("low", "high") for k in names]
-    width = {k: f"{reach} * greatest(q3 - q1, {least})" for k, (reach, least, _, _) in FEATURES.items()}
-    tests = [f"{k} >= low_{k}" for k in names if FEATURES[k][2]] + [f"{k} <= high_{k}" for k in names if FEATURES[k][3]]
+    at = lambda k: f"least(floor(ln({k} + 1.0::DOUBLE) / {_log(GROWTH)!r}::DOUBLE), {CELLS})"
+    tests = [f"NOT coalesce({at('m.' + k)} <= low_{k}, false)" for k in names if FEATURES[k][0]] + [f"NOT coalesce({at('m.' + k)} >= high_{k}, false)" for k in names if FEATURES[k][1]]
+    same = "a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source"
     return rf"""
 WITH cut AS (
   SELECT doc_id, lang, source, text, {words} AS words, string_split(text, chr(10)) AS lines FROM documents
@@ -165,29 +177,25 @@ m AS (
     CAST(floor(1000 * len(regexp_extract_all(text, '{_SYMBOL}')) / length(text)) AS INTEGER) AS symbols,
     CAST(floor(1000 * len(regexp_extract_all(text, '[A-Z]')) / length(text)) AS INTEGER) AS capitals,
     CAST(floor(1000 * len(list_distinct(words)) / len(words) * sqrt(greatest(len(words), 100) / 100)) AS INTEGER) AS distinct_words,
-    CAST(floor(1000 * (len(lines) - len(list_distinct(lines))) / len(lines)) AS INTEGER) AS repeated_lines
+    CAST(floor(100 * len(lines) / len(list_distinct(lines))) AS INTEGER) AS repeated_lines
   FROM cut),
-cells AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS feature, {k} AS cell FROM m" for k in names)}),
-merged AS (
-  SELECT 0 AS level, lang AS l, source AS s, feature, cell, count(*) AS n FROM cells GROUP BY ALL
-  UNION ALL SELECT 1, lang, NULL, feature, cell, count(*) FROM cells GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, feature, cell, count(*) FROM cells GROUP BY ALL),
-ranked AS (
-  SELECT level, l, s, feature, cell, sum(n) OVER (PARTITION BY level, l, s, feature ORDER BY cell) AS below,
-    sum(n) OVER (PARTITION BY level, l, s, feature) AS n FROM merged),
-quartiles AS (
-  SELECT level, l, s, feature, max(n) AS n, min(cell) FILTER (below * 4 >= n) AS q1, min(cell) FILTER (below * 4 >= n * 3) AS q3
-  FROM ranked GROUP BY level, l, s, feature),
+cells AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS feature, CAST({at(k)} AS INTEGER) AS cell FROM m" for k in names)}),
+c0 AS (SELECT lang, source, feature, cell, count(*) AS c FROM cells GROUP BY ALL),
+c1 AS (SELECT lang, feature, cell, sum(c) AS c FROM c0 GROUP BY ALL), c2 AS (SELECT feature, cell, sum(c) AS c FROM c0 GROUP BY ALL),
+n0 AS (SELECT lang, source, feature, sum(c) AS n FROM c0 GROUP BY ALL), n1 AS (SELECT lang, feature, sum(c) AS n FROM c0 GROUP BY ALL), n2 AS (SELECT feature, sum(c) AS n FROM c0 GROUP BY ALL),
+grid AS (SELECT lang, source, feature, n AS n0, CAST(unnest(range({CELLS + 1})) AS INTEGER) AS cell FROM n0),
+shares AS (
+  SELECT a.lang, a.source, a.feature, a.cell, CAST(floor((coalesce(b.c, 0) + {PRIOR} * ((coalesce(l.c, 0) + {PRIOR} * (coalesce(w.c, 0)::DOUBLE / n2.n::DOUBLE)) / (n1.n + {PRIOR})::DOUBLE)) / (n0 + {PRIOR})::DOUBLE * {_WHOLE}) AS BIGINT) AS share
+  FROM grid a LEFT JOIN c0 b ON {same} AND a.feature = b.feature AND a.cell = b.cell LEFT JOIN c1 l ON a.lang IS NOT DISTINCT FROM l.lang AND a.feature = l.feature AND a.cell = l.cell
+    LEFT JOIN c2 w ON a.feature = w.feature AND a.cell = w.cell JOIN n1 ON a.lang IS NOT DISTINCT FROM n1.lang AND a.feature = n1.feature JOIN n2 ON a.feature = n2.feature),
+ranked AS (SELECT *, sum(share) OVER (PARTITION BY lang, source, feature ORDER BY cell) AS below, sum(share) OVER (PARTITION BY lang, source, feature) AS whole FROM shares),
+dense AS (SELECT * FROM (SELECT *, min(cell) FILTER (below * 2 >= whole) OVER (PARTITION BY lang, source, feature) AS middle FROM ranked) WHERE share >= {int(DENSE * _WHOLE)}),
+near AS (SELECT *, greatest(lag(cell) OVER g, middle) AS before, least(lead(cell) OVER g, middle) AS after FROM dense WINDOW g AS (PARTITION BY lang, source, feature ORDER BY cell)),
 fences AS (
-  SELECT level, l, s, max(n) AS n,
-    {', '.join(f"max(q1 - {width[k]}) FILTER (feature = '{k}') AS low_{k}, max(q3 + {width[k]}) FILTER (feature = '{k}') AS high_{k}" for k in names)}
-  FROM quartiles GROUP BY level, l, s),
-chosen AS (
-  SELECT a.l AS lang, a.s AS source,
-    {', '.join(f"CASE WHEN a.n >= {MIN_ROWS} THEN a.{b} WHEN b.n >= {MIN_ROWS} THEN b.{b} ELSE c.{b} END AS {b}" for b in bounds)}
-  FROM fences a JOIN fences b ON b.level = 1 AND a.l IS NOT DISTINCT FROM b.l JOIN fences c ON c.level = 2 WHERE a.level = 0)
+  SELECT lang, source, {', '.join(f"max(cell) FILTER (feature = '{k}' AND cell < middle AND after - cell > {GAP}) AS low_{k}, min(cell) FILTER (feature = '{k}' AND cell > middle AND cell - before > {GAP}) AS high_{k}" for k in names)}
+  FROM near GROUP BY lang, source)
 SELECT m.doc_id, m.lang, m.source, m.n_words, {', '.join('m.' + k for k in names)}
-FROM m JOIN chosen t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source
+FROM m LEFT JOIN fences t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source
 WHERE {' AND '.join(tests)}"""
 
 
