@@ -515,3 +515,112 @@ def test_nearest_of_few(spark):
     assert ann.nearest(spark.createDataFrame([(1, [1.0, 0.0])], kind)).count() == 0
     got = ann.nearest(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 0.0])], kind)).collect()
     assert {(r.vec_id, r["rank"], r.neighbour) for r in got} == {(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 1), (3, 2, 2)}
+
+
+# Brute force
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    texts = [prose(int(rng.integers(40, 200)), 100 + i) for i in range(150)]
+    for i in range(150):
+        w = texts[int(rng.integers(0, len(texts)))].split()
+        for k in rng.choice(len(w), max(1, int(len(w) * rng.choice([0, 0.02, 0.05, 0.1]))), replace=False):
+            w[k] = str(rng.choice(WORDS))
+        texts.append(" ".join(w))
+    sig, _ = simhash.fingerprints(texts, simhash.WordHashes())
+    x = sig.view(np.uint64)
+    near = np.argwhere(np.triu(np.stack([simhash._distances(r[None], x) for r in x]) <= simhash.DISTANCE, 1)).tolist()
+    root = connected(len(texts), near)
+    got = {r.doc_id: r.duplicate_of for r in simhash.near_duplicates(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert all(root[i] == root[j] for i, j in got.items())  # no links between different groups
+    want = {i for i in range(len(texts)) if root[i] != i}
+    assert len(want) > 80 and len(want & set(got)) >= 0.9 * len(want)
+
+
+def test_repeated_ids_and_rows(spark):
+    a, b = prose(100, 1), prose(100, 2)
+    rows = [(1, a, "en", "x"), (1, a, "en", "y"), (2, b, "en", "x"), (2, prose(90, 3), "en", "x"), (3, prose(80, 4), "en", "x"), (3, prose(80, 4), "en", "x"), (4, b, "en", "x"), (5, None, "en", "x"), (5, "", "en", "x")]
+    got = simhash.deduplicate(docs(spark, rows, extra=True)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 5]
+
+
+def test_compression_against_all_languages_and_pieces():
+    import zstandard
+
+    content = {"aa": b"the cat sat on the mat " * 40, "bb": b"el gato se sento en la alfombra " * 30, "cc": b"die katze sass auf der matte " * 30}
+    c = langid.Classifier(content)
+    for text in ("the cat sat", "el gato " * 500, "x", "die katze sass auf der matte und der cat " * 90):
+        data = text.encode()
+        count = max(1, -(-len(data) // langid.PIECE))
+        step = -(-len(data) // count)
+        want = []
+        for lang in sorted(content):
+            p = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, dict_size=langid.SIZE, source_size=langid.SIZE + langid.PIECE, min_match=4, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+            size = 0
+            for at in range(0, len(data), step):
+                d = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                size += len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(data[at : at + step]))
+            want.append(size)
+        assert c.sizes(text) == want
+        lang, guess, size, following = c.classify(text)
+        order = sorted(want)
+        assert (size, following) == tuple(order[:2]) and (lang is not None) == (order[1] - order[0] >= max(1, langid.MARGIN * order[0])) and guess == sorted(content)[want.index(order[0])]
+
+
+def test_dictionaries_take_whole_texts_of_bounded_rows(spark):
+    rows = [(1, "one text of a row " * 3, "en", "a")] * 500 + [(2, "another", "en", "a"), (3, "long " * 2000, "en", "a"), (4, " ", "en", "a"), (None, "none", "en", "a"), (5, "x", None, "a"), (6, "lang " * 2000, "zz", "a")]
+    found = langid.dictionaries(docs(spark, rows, extra=True))
+    assert set(found) == {"en"} and sorted(found["en"].split(b"\n")) == sorted([b"one text of a row " * 3, b"another"])
+
+
+def test_toxicity_scores_against_a_loop():
+    model = toxicity.Model()
+    model.train([[b"good", b"words"], [b"bad", b"words"]] * 20, np.array([False, True] * 20))
+    documents = [[b"good"], [b"bad"] * 3, [b"a", b"bad", b"word"] * 9, [], [str(i).encode() for i in range(40)]]
+    for d, s in zip(documents, toxicity.Scorer(model).scores(documents), strict=True):
+        best = 0.0
+        n = min(toxicity.WINDOW, len(d))
+        for at in range(len(d) - n + 1 if d else 0):
+            x = np.mean([model.rows[toxicity.subwords(w)].mean(axis=0) for w in d[at : at + n]], axis=0)
+            z = x @ model.out + model.bias
+            best = max(best, float(np.exp(z[1]) / np.exp(z).sum()))
+        assert abs(s - best) < 1e-4
+
+
+def test_fit_takes_one_text_of_an_id(spark):
+    rows = [(i, f"plain words number {i} here", "en", "a") for i in range(60)] + [(0, "other text of it", "en", "a")] * 300
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)] + [(0, 0, 0), (0, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(docs(spark, rows, extra=True), labels, 30, 40).cutoff <= 1.0
+
+
+def test_quality_of_odd_groups(spark):
+    rows = [(i, prose(80, i), None if i % 2 else "en", None if i % 3 else "a") for i in range(200)] + [(None, prose(80, 900), None, None), (300, None, None, None), (301, " \n", "en", "a")] + [(302, prose(80, 7), "en", "a")] * 2
+    got = sorted((-1 if r.doc_id is None else r.doc_id) for r in quality.quality_filter(docs(spark, rows, extra=True)).collect())
+    assert got == [-1, *range(200), 302, 302]
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import duckdb
+    import tiktoken
+
+    rows = [(i, prose(int(40 + i % 90), 7000 + i) + (f' token = "{KEY}"' if i % 9 == 0 else ""), "en", "ab"[i % 4 == 0]) for i in range(240)]
+    rows += [(500 + i, rows[i][1] + " end", "en", "b") for i in range(20)] + [(600 + i, "BUY NOW!! " * (20 + i), "en", "a") for i in range(9)] + [(None, None, "en", "a"), (700, " ", "en", "a")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    kept = {i for (i,) in con.sql(f"SELECT doc_id FROM ({quality.ORACLE_SQL['op10_quality_rules']})").fetchall()}
+    kept = [r for r in rows if r[0] in kept]
+    assert len(kept) == 260
+    x = simhash.fingerprints([r[1] for r in kept], simhash.WordHashes())[0].view(np.uint64)
+    root = connected(len(kept), np.argwhere(np.triu(np.stack([simhash._distances(r[None], x) for r in x]) <= simhash.DISTANCE, 1)).tolist())
+    kept = [(r[0], secrets.redact(r[1]), r[3]) for i, r in enumerate(kept) if root[i] == i]
+    plain = tiktoken.Encoding("whole", pat_str=bpe.PATTERN, mergeable_ranks=bpe.load_ranks(), special_tokens={})
+    sizes = {s: sum(r[2] == s for r in kept) for s in "ab"}
+    want = []
+    for s, n in sizes.items():
+        target = int(n**0.5 / sum(m**0.5 for m in sizes.values()) * len(kept) * mixing.MILLION)
+        for k, (i, t, _) in enumerate(sorted(r for r in kept if r[2] == s)):
+            upto = [(mixing.OFFSET * n + j * target) // (n * mixing.MILLION) for j in (k, k + 1)]
+            want += [(i, plain.encode_ordinary(t))] * (upto[1] - upto[0])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, list(r.tokens)) for r in got) == sorted(want)
