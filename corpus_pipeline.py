@@ -1,6 +1,10 @@
 """A corpus made ready for training: rules, near-duplicates, secrets, mixture, token ids.
 
 Every stage takes what its predecessor kept and returns the columns of documents, but the last, which returns token ids.
+
+Defined results: documents of null, empty or blank text go with the rules; of rows of one id one stays (near_dedup), rows of null
+ids all stay; every text is taken whole; ties and repeats are settled as the operators' docstrings say; empty documents give
+an empty result; extra columns are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -53,10 +57,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again."""
+    """The stages over documents, each written to the shared folder and read again; a stage's folder goes when the next one is written.
+
+    The folder of the last stage stays, as the result reads it.
+    """
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid4().hex}"
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        here = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            common.remove(spark, before)
+        before = here
     return docs
