@@ -16,6 +16,36 @@ def _named(kind: Column, text: Column) -> Column:
     return F.struct(kind.alias("kind"), text.alias("text"))
 
 
+def resolved_bases(types: DataFrame) -> DataFrame:
+    """Parsed types, a first base that names an interface of the same assembly moved to the interfaces."""
+    simple = lambda c: F.substring_index(c, "<", 1)
+    known = types.filter("kind = 'interface'").select(F.col("assembly").alias("_assembly"), simple("name").alias("_interface")).distinct()
+    found = types.join(known, F.col("assembly").eqNullSafe(F.col("_assembly")) & (simple("base") == F.col("_interface")) & ~F.col("kind").isin("enum", "delegate", "interface"), "left")
+    moves = F.col("_interface").isNotNull()
+    columns = {"base": F.when(~moves, F.col("base")), "interfaces": F.when(moves, F.concat(F.array("base"), "interfaces")).otherwise(F.col("interfaces"))}
+    return found.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in types.columns])
+
+
+def merged_partials(types: DataFrame) -> DataFrame:
+    """Parsed types, the parts of one id made one row: what the first in order of file and line is, with the lines of all, the
+    first base, all interfaces once, all members and constructor parameters, and the first attributes and constraints of a name."""
+    part = F.struct("path", "start_line")
+    gathered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("path", "start_line", F.monotonically_increasing_id().alias("_n"), F.struct(F.col(c).alias("x")).alias("_x"))), lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).when(a["start_line"] < b["start_line"], -1).when(a["start_line"] > b["start_line"], 1).otherwise(0)), lambda s: s["_x"]["x"]))
+
+    def first_of(items: Column, key: str) -> Column:
+        names_ = F.transform(items, lambda i: i[key])
+        return F.filter(items, lambda i, n: F.array_position(names_, i[key]) == n + 1)
+
+    lists = ("interfaces", "members", "constructor_params", "attributes", "constraints")
+    plain = [c for c in types.columns if c not in (*lists, "type_id", "line_count", "base")]
+    merged = types.groupBy("type_id").agg(
+        *[F.min_by(c, part).alias(c) for c in plain], F.sum("line_count").cast("int").alias("line_count"),
+        F.min_by("base", F.when(F.col("base").isNotNull(), part)).alias("base"), *[gathered(c).alias(c) for c in lists],
+    )
+    columns = {"interfaces": F.array_distinct("interfaces"), "attributes": first_of(F.col("attributes"), "name"), "constraints": first_of(F.col("constraints"), "parameter")}
+    return merged.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in types.columns])
+
+
 def references(types: DataFrame) -> DataFrame:
     """(from_id, from_name, namespace, qualified, kind, name): every type that a type names, once for each kind.
 

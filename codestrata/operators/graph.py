@@ -9,9 +9,9 @@ from ..functions.shared import checkpoint
 def rank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, most: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """PageRank over distinct edges (src, dst) between different known vertices (id); the ranks add up to 1.
 
-    The mass of vertices without successors is spread evenly. With a tolerance, rounds end when ranks move by less in sum. A
-    round reads the one before it once: what vertices pass on and what those without successors lose is one aggregation,
-    written to the shared folder. Jobs run while the result is planned.
+    The mass of vertices without successors is spread evenly. With a tolerance, rounds end when ranks move by less in sum. A round
+    is one join and one aggregation over the round before it, which was written to the shared folder, and one sum over what it
+    wrote itself. These jobs run while the result is planned.
     """
     nodes = checkpoint(vertices.select("id").distinct())
     n = nodes.count()
@@ -19,25 +19,23 @@ def rank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, most: int
         return nodes.withColumn("rank", F.lit(0.0))
     pairs = edges.filter("src <> dst").select("src", "dst").distinct()
     known = pairs.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    degrees = known.groupBy("src").agg(F.count("*").alias("out"))
-    # A vertex without successors has one link, to nowhere.
-    links = checkpoint(nodes.withColumnRenamed("id", "src").join(known.join(degrees, "src"), "src", "left").select("src", "dst", F.coalesce("out", F.lit(1)).alias("out")))
+    degrees = checkpoint(known.groupBy("src").agg(F.count("*").alias("out")))
+    links = checkpoint(known.join(degrees, "src"))
+    start = nodes.join(degrees.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("sink"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("moved"))
+    now = checkpoint(start)
 
-    def ranks(flow: DataFrame, lost: float) -> DataFrame:
-        passed = flow.filter("dst IS NOT NULL").withColumnRenamed("dst", "id")
-        return nodes.join(passed, "id", "left").select("id", ((1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + lost / n)).alias("rank"))
+    def sums(state: DataFrame):
+        return state.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost"), F.sum("moved").alias("moved"), F.sum("rank").alias("total")).first()
 
-    now = nodes.withColumn("rank", F.lit(1.0 / n))
+    of = sums(now)
     for _ in range(most):
-        flow = checkpoint(links.join(now.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("flow")))
-        sink = flow.filter("dst IS NULL").first()
-        last, now = now, ranks(flow, sink["flow"] if sink else 0.0)
-        if tolerance is not None:
-            moved = now.join(last.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if moved < tolerance:
-                break
-    total = now.agg(F.sum("rank")).first()[0]
-    return now.select("id", (F.col("rank") / total).alias("rank"))
+        flow = links.join(now.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("flow"))
+        rank_ = (1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + of["lost"] / n)
+        now = checkpoint(now.join(flow, "id", "left").select("id", "sink", rank_.alias("rank"), F.abs(rank_ - F.col("rank")).alias("moved")))
+        of = sums(now)
+        if tolerance is not None and of["moved"] < tolerance:
+            break
+    return now.select("id", (F.col("rank") / of["total"]).alias("rank"))
 
 
 def _reach(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -164,6 +164,7 @@ def test_diff_status(spark):
     a = spark.createDataFrame([{"type_id": t} | base | c for t, c in (("same", {"health": 5.00005}), ("worse", {"health": 4.0}), ("better", {"line_count": 4.0}), ("mixed", {"health": 6.0, "max_cog": 6.0}), ("new", {}))], cols)
     b = b.unionByName(b.filter("type_id = 'same'").withColumn("health", F.lit(9.0)))  # of two rows of an id the first counts
     assert snapshots.type_diff(b, a.unionByName(a)).count() == 6
+    assert {r.metric for r in snapshots.type_deltas(b.withColumn("lcom", F.lit(0.5)).withColumn("cbo", F.lit(1)), a.withColumn("lcom", F.lit(0.75))).collect()} == {*snapshots.DIFFED, "lcom"}
     got = {r.type_id: r.status for r in snapshots.type_diff(b, a).collect()}
     assert got == {"same": "Unchanged", "worse": "Degraded", "better": "Improved", "mixed": "Degraded", "gone": "Removed", "new": "Added"}
 

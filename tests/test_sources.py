@@ -161,6 +161,15 @@ def test_sources_to_edges(spark, tmp_path):
     assert code.parse_files(spark.createDataFrame([("x", None), ("y", "")], "path string, text string")).count() == 0
 
 
+def test_partial_types_and_interfaces_of_other_files(spark):
+    files = [("b.cs", "partial class P : Base { int x; P(int a) { } } partial class P { }"), ("a.cs", "[A(1)] partial class P : IX { void M() { } }"), ("c.cs", "[A(2), B] partial class P : Base, IX, IY { int y; } interface IX { } class Base { } class Q : IX { }")]
+    types = code.parse_files(spark.createDataFrame(files, "path string, text string"))
+    got = {r.name: r for r in dependencies.merged_partials(dependencies.resolved_bases(types)).collect()}
+    p = got["P"]
+    assert (p.base, p.interfaces, [m.name for m in p.members], p.constructor_params, p.line_count, p.path) == ("Base", ["IX", "IY"], ["M", "x", "y"], ["int"], 4, "a.cs")
+    assert [(a.name, dict(a.arguments or {})) for a in p.attributes] == [("A", {"arg0": "1"}), ("B", {})] and (got["Q"].base, got["Q"].interfaces) == (None, ["IX"])
+
+
 def test_cycles(spark):
     e = spark.createDataFrame([("A", "B"), ("B", "A"), ("C", "C"), ("X", "Y"), ("Y", "Z"), ("Z", "X")], "from_type string, to_type string")
     a = spark.createDataFrame([("p", ["q", "x"]), ("q", ["p"]), ("r", [])], "name string, references array<string>")
