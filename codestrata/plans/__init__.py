@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity as names
-from ..functions.rounding import half_even
+from ..functions.rounding import half_even, mean
 from ..functions.scores import bucket, halstead
 from ..operators import agreement, edges, graph, metrics, resolve, rollup, rules, sketch, snapshots
 from .. import sinks
@@ -277,7 +277,8 @@ def panel_complex(s, d):
 
 @query(f"{_TM} SELECT avg(x) AS mean_of_means FROM (SELECT round_even(sum(CAST(round_even(health * 10, 0) AS BIGINT))::DOUBLE / count(*) / 10, 2) AS x FROM type_metrics GROUP BY assembly)".replace("avg(x)", "round_even(avg(x), 2)"))
 def project_mean(s, d):
-    return metrics.assembly_health(_types(s, d)).agg(half_even(F.avg("avg_health"), 2).alias("mean_of_means"))
+    hundredths = F.sum(F.rint(F.col("avg_health") * 100).cast("long"))
+    return metrics.assembly_health(_types(s, d)).agg((F.rint(mean(hundredths, F.count("avg_health"))) / 100).alias("mean_of_means"))
 
 
 @query("SELECT CAST(floor(s_acctbal / 500) AS BIGINT) AS x, CAST(s_nationkey // 5 AS BIGINT) AS y, count(*) AS n, min(s_suppkey) AS least FROM supplier GROUP BY 1, 2")
