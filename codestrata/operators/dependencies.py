@@ -30,7 +30,7 @@ def merged_partials(types: DataFrame) -> DataFrame:
     """Parsed types, the parts of one id made one row: what the first in order of file and line is, with the lines of all, the
     first base, all interfaces once, all members and constructor parameters, and the first attributes and constraints of a name."""
     part = F.struct("path", "start_line")
-    gathered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("path", "start_line", F.monotonically_increasing_id().alias("_n"), F.struct(F.col(c).alias("x")).alias("_x"))), lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).when(a["start_line"] < b["start_line"], -1).when(a["start_line"] > b["start_line"], 1).otherwise(0)), lambda s: s["_x"]["x"]))
+    gathered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("path", "start_line", "_n", F.struct(F.col(c).alias("x")).alias("_x"))), lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).when(a["start_line"] < b["start_line"], -1).when(a["start_line"] > b["start_line"], 1).otherwise(0)), lambda s: s["_x"]["x"]))
 
     def first_of(items: Column, key: str) -> Column:
         names_ = F.transform(items, lambda i: i[key])
@@ -38,7 +38,7 @@ def merged_partials(types: DataFrame) -> DataFrame:
 
     lists = ("interfaces", "members", "constructor_params", "attributes", "constraints")
     plain = [c for c in types.columns if c not in (*lists, "type_id", "line_count", "base")]
-    merged = types.groupBy("type_id").agg(
+    merged = types.withColumn("_n", F.monotonically_increasing_id()).groupBy("type_id").agg(
         *[F.min_by(c, part).alias(c) for c in plain], F.sum("line_count").cast("int").alias("line_count"),
         F.min_by("base", F.when(F.col("base").isNotNull(), part)).alias("base"), *[gathered(c).alias(c) for c in lists],
     )
