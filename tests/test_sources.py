@@ -278,3 +278,30 @@ def test_streamed_change_counts(spark, tmp_path):
     q.stop()
     assert {(r.path_key, r.path, r.changes) for r in spark.table("counts").collect()} == {("src/a.cs", "SRC/A.cs", 3), ("b.cs", "b.cs", 1)}
     assert changes.windowed_counts(spark.createDataFrame([("a",), (" A ",)], "line string").withColumn("seen", F.lit("2024-01-01").cast("timestamp"))).first().changes == 2
+
+
+def test_methods_parsed_by_themselves_are_what_they_are_in_their_file(monkeypatch):
+    text = """using System; namespace A { public class K : B {
+  int f; public static int S(List<int> a) { if (a == null || f > 1) { throw new Exception("}"); } return this.f; }
+  public K(int a) { f = a; }
+  public void M() { c.Bind<I>().To<K>().AsSingle(); Action d = () => { f += x; }; int x = 1; }
+  protected override async Task Z(X ct) { try { await Foo(ct); } catch (Exception e) { throw new Y("a"); } } // }
+  public int Broken() { int y = ; return 1 }
+  public class Inner { public int T([Inject] Foo p) { try { } catch { } return '}'; } } } }"""
+    whole = code.methods_in
+    monkeypatch.setattr(code, "methods_in", lambda text: [])
+    plain = code.types_of("x", text)
+    monkeypatch.setattr(code, "methods_in", whole)
+    assert code.types_of("x", text) == plain and len(plain[0]) == 2 and len(plain[1]) == 2
+    assert sum(n.kind == "Cut" for n in code._unit(text, frozenset())[1].below()) == 4  # S, M, Z, T; the damaged one isn't
+
+
+def test_equal_methods_are_parsed_once(monkeypatch):
+    done = []
+    parsed = code._parsed
+    monkeypatch.setattr(code, "_PARTS", {})
+    monkeypatch.setattr(code, "_parsed", lambda text: done.append(text) or parsed(text))
+    for i in range(50):
+        (row,) = code.types_of("x", f"class C{i} {{\n\n  public int M(int a) {{ try {{ }} catch {{ }} return a; }} }}")[0]
+        assert row["members"][0]["start_line"] == 3 and row["occurrences"][0]["message"] == "catch-all at line 3"
+    assert len(done) == 1
