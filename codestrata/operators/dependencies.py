@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as names
 from ..functions.rounding import half_even
+from ..functions.shared import checkpoint
 from . import edges as edge_ops
 from . import graph, resolve
 
@@ -46,12 +47,9 @@ def merged_partials(types: DataFrame) -> DataFrame:
     return merged.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in types.columns])
 
 
-def references(types: DataFrame) -> DataFrame:
-    """(from_id, from_name, namespace, qualified, kind, name): every type that a type names, once for each kind.
-
-    Bases, interfaces, members by their kind, parameters, constructor parameters and constraints are one array of each row, so the
-    types are read once. Constraints that are keywords name no type.
-    """
+def _uses() -> Column:
+    """Of each type what it names, each once, as "kind:text": bases, interfaces, members by their kind, parameters, constructor
+    parameters and constraints. Constraints that are keywords name no type."""
     one = lambda kind, texts: F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: _named(F.lit(kind), t))
     member_kind = lambda m: F.coalesce(F.create_map(*[F.lit(x) for p in _OF_MEMBER.items() for x in p])[m["member_kind"]], F.lit("FieldType"))
     limits = F.flatten(F.transform("constraints", lambda c: c["limits"]))
@@ -62,16 +60,27 @@ def references(types: DataFrame) -> DataFrame:
         one("ConstructorParam", F.col("constructor_params")),
         F.filter(one("GenericConstraint", F.transform(limits, lambda c: F.regexp_replace(c, "\\?+\\z", ""))), lambda s: ~s["text"].isin(*_KEYWORDS)),
     )
-    rows = types.select(F.col("type_id").alias("from_id"), F.col("name").alias("from_name"), "namespace", "qualified", F.explode(wanted).alias("w"))
-    each = rows.select("from_id", "from_name", "namespace", "qualified", F.col("w.kind").alias("kind"), F.explode(names.type_names(F.col("w.text"))).alias("name"))
+    return F.array_distinct(F.transform(wanted, lambda w: F.concat(w["kind"], F.lit(":"), w["text"])))
+
+
+def references(types: DataFrame) -> DataFrame:
+    """(from_id, from_name, namespace, qualified, kind, name): every type that a type names, once for each kind.
+
+    What a type names is one array of each row (``uses`` where it is there), so the types are read once.
+    """
+    uses = F.col("uses") if "uses" in types.columns else _uses()
+    rows = types.select(F.col("type_id").alias("from_id"), F.col("name").alias("from_name"), "namespace", "qualified", F.explode(uses).alias("u"))
+    each = rows.select("from_id", "from_name", "namespace", "qualified", F.substring_index("u", ":", 1).alias("kind"), F.explode(names.type_names(F.expr("substr(u, locate(':', u) + 1)"))).alias("name"))
     return each.distinct()
 
 
 def build(types: DataFrame) -> DataFrame:
     """Edges (from_type, to_type, kind, from_id, to_id) between known types, without loops, each once.
 
-    A name is resolved once for each type that uses it, whatever kinds of use it has.
+    A name is resolved once for each type that uses it, whatever kinds of use it has. The types are read once, while the result is
+    planned: their names and what they name go to the shared folder, from where all that follows takes them.
     """
+    types = checkpoint(types.select("type_id", "name", "namespace", "qualified", _uses().alias("uses")))
     used = references(types)
     known = types.select("type_id", "qualified", names.without_generics(F.col("name")).alias("simple"))
     wanted = used.select(F.struct("from_id", "name").alias("ref_id"), "name", "namespace", "qualified").distinct()

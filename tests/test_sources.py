@@ -305,3 +305,17 @@ def test_equal_methods_are_parsed_once(monkeypatch):
         (row,) = code.types_of("x", f"class C{i} {{\n\n  public int M(int a) {{ try {{ }} catch {{ }} return a; }} }}")[0]
         assert row["members"][0]["start_line"] == 3 and row["occurrences"][0]["message"] == "catch-all at line 3"
     assert len(done) == 1
+
+
+def test_edges_read_the_types_once(spark, tmp_path):
+    files = spark.createDataFrame([(f"{i}.cs", f"class T{i} {{ T{i + 1} n; }}") for i in range(5)], "path string, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    types = code.parse_files(files.coalesce(1).mapInArrow(count, "path string, text string"))
+    assert {(r.from_type, r.to_type) for r in dependencies.build(types).collect()} == {(f"T{i}", f"T{i + 1}") for i in range(4)}
+    assert seen.value == 5
