@@ -40,20 +40,53 @@ def nearest_lines(ours: DataFrame, theirs: DataFrame, reach: int = 5) -> DataFra
     """Greedy one-to-one match of equal keys by nearest line, at most ``reach`` off, in the order of our lines.
 
     ours: (key, line, a); theirs: (key, line, b). Rows of ours without a match get b = 0; of two lines equally near the lesser
-    one is taken, and of several rows of a line the one of least b.
+    one is taken, and of several rows of a line the one of least b. One pass over the rows in order of key and line, which holds
+    those within ``reach`` of a line, whatever the number and size of keys.
     """
     from bisect import bisect_left
 
-    import pandas as pd
+    import pyarrow as pa
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free, out = sorted(zip(right["line"].tolist(), right["b"].tolist(), strict=True)), []
-        for line, a, key in sorted(zip(left["line"].tolist(), left["a"].tolist(), left["key"].tolist(), strict=True)):
-            at = bisect_left(free, (line,))
-            if at > 0 and (at == len(free) or line - free[at - 1][0] <= free[at][0] - line):
-                at = bisect_left(free, (free[at - 1][0],))
-            b = free.pop(at)[1] if at < len(free) and abs(free[at][0] - line) <= reach else 0
-            out.append((key, line, a, b))
-        return pd.DataFrame(out, columns=["key", "line", "a", "b"])
+    schema = pa.schema([("key", pa.string()), ("line", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-    return ours.groupBy("key").cogroup(theirs.groupBy("key")).applyInPandas(run, "key string, line long, a long, b long")
+    def run(batches):
+        out: list[tuple] = []
+        free: list[tuple] = []  # theirs
+        open_: list[tuple] = []  # ours, whose near lines may still come
+
+        def settle(before: int | None) -> None:
+            done = 0
+            for line, a in open_:
+                if before is not None and line + reach >= before:
+                    break
+                done += 1
+                if free and free[0][0] < line - reach:
+                    del free[: bisect_left(free, (line - reach,))]
+                at = bisect_left(free, (line,))
+                if at > 0 and (at == len(free) or line - free[at - 1][0] <= free[at][0] - line):
+                    at = bisect_left(free, (free[at - 1][0],))
+                out.append((key, line, a, free.pop(at)[1] if at < len(free) and abs(free[at][0] - line) <= reach else 0))
+            del open_[:done]
+
+        key, begun = None, False
+        for batch in batches:
+            for k, line, side, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if k != key or not begun:
+                    settle(None)
+                    free.clear()
+                    key, begun = k, True
+                elif open_:
+                    settle(line)
+                elif free and free[0][0] < line - reach:
+                    del free[: bisect_left(free, (line - reach,))]
+                (open_ if side else free).append((line, v))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out.clear()
+        settle(None)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    sides = [rows.select("key", F.col("line").cast("long").alias("line"), F.lit(n).alias("side"), F.col(c).cast("long").alias("v")) for n, (rows, c) in enumerate(((theirs, "b"), (ours, "a")))]
+    rows = sides[0].unionByName(sides[1]).repartition("key").sortWithinPartitions("key", "line", "side", "v")
+    return rows.mapInArrow(run, "key string, line long, a long, b long")

@@ -263,3 +263,10 @@ def test_edges_around_visible_namespaces(spark):
     seen = spark.createDataFrame([("a.b",), ("a.d",)], "prefix string")
     assert [(r.from_group, r.to_group, r.n) for r in edges.visible_rollup(e, t, seen).collect()] == [("a.b", "a.d", 2)]
     assert sorted((r.from_id, r.to_id) for r in edges.incident(e, spark.createDataFrame([("2",), ("2",)], "type_id string")).collect()) == [("1", "2"), ("2", "3")]
+
+
+def test_nearest_lines_takes_no_group_as_a_whole(spark):
+    rows = spark.createDataFrame([("k", i, 1) for i in range(100)], "key string, line long, v long")
+    got = agreement.nearest_lines(rows.withColumnRenamed("v", "a"), rows.withColumnRenamed("v", "b"))
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.line, r.b) for r in got.collect()) == [(i, 1) for i in range(100)]
