@@ -565,7 +565,7 @@ def source_findings(s, d):
 @query("SELECT 'I' || p_partkey AS service, 'T' || p_partkey AS implementation, 'Zenject' AS container, CASE p_partkey % 3 WHEN 0 THEN 'Singleton' WHEN 1 THEN 'Transient' ELSE 'Scoped' END AS lifetime, 1 AS line FROM part UNION ALL SELECT 'T' || p_partkey, 'T' || p_partkey, 'VContainer', 'Scoped', 1 FROM part")
 def source_registrations(s, d):
     text = F.expr("concat('class C { void Install() { c.Bind<I', p_partkey, '>().To<T', p_partkey, '>().', CASE p_partkey % 3 WHEN 0 THEN 'AsSingle' WHEN 1 THEN 'AsTransient' ELSE 'AsCached' END, '(); b.Register<T', p_partkey, '>(Lifetime.Scoped); } }')")
-    files = fx.read(s, d, "part").select(F.concat(F.lit("C"), "p_partkey").alias("path"), text.alias("text"))
+    files = fx.read(s, d, "part").select(F.concat(F.lit("C"), "p_partkey").alias("path"), text.alias("text")).repartition(s.sparkContext.defaultParallelism, "path")  # parsing takes long for so few bytes
     return code.registrations(files).select("service", "implementation", "container", "lifetime", "line")
 
 

@@ -22,3 +22,8 @@ def test_same_rows(spark, name):
     for p in Path(SF).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS FROM '{p}'")
     assert rows(plans.QUERIES[name](spark, SF).toPandas()) == rows(con.sql(plans.ORACLE_SQL[name]).df())
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
+def test_registrations_use_every_core(spark):
+    assert plans.QUERIES["source_registrations"](spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
