@@ -270,3 +270,20 @@ def test_nearest_lines_takes_no_group_as_a_whole(spark):
     got = agreement.nearest_lines(rows.withColumnRenamed("v", "a"), rows.withColumnRenamed("v", "b"))
     assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.line, r.b) for r in got.collect()) == [(i, 1) for i in range(100)]
+
+
+def test_smell_diff_reads_each_side_once(spark):
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(n, rows):
+        def count(batches):
+            for b in batches:
+                seen[n].add(b.num_rows)
+                yield b
+
+        schema = "type_id string, kind string, method string"
+        return spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(count, schema)
+
+    got = snapshots.smell_diff(counted(0, [("t", "K", None), ("t", "L", "m"), (None, "K", "m")]), counted(1, [("t", "L", "m"), ("t", "L", "n"), ("t", "L", "n"), (None, "K", "m")]))
+    assert sorted(map(tuple, got.collect())) == [("t", "K", "", "Resolved"), ("t", "L", "n", "Added")]
+    assert [s.value for s in seen] == [3, 4]
